@@ -6,9 +6,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opweave.llm.lookalikes import deviating_fields, fit_lookalikes
+from opweave.llm.mixing import mix_shares, mix_sources
 from opweave.llm.runs import collapse_runs, window_key
 from opweave.llm.subsequences import frequent_subsequences, step_name
-from opweave.session import table
+from opweave.llm.tokens import token_counts, token_ids
+from opweave.session import cut, table
 
 TEXT_FIELDS = ["window", "text", "screen_text"]
 
@@ -34,8 +36,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text"))
+    return mix_sources(sized, table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    sized = cut(token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text"))
+    return mix_shares(sized, mix_sources(sized, table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
