@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from opweave.llm.lookalikes import deviating_fields, fit_lookalikes
 from opweave.llm.mixing import mix_shares, mix_sources
 from opweave.llm.runs import collapse_runs, window_key
+from opweave.llm.sentences import learn_sentences, sentence_units
 from opweave.llm.subsequences import frequent_subsequences, step_name
 from opweave.llm.tokens import token_counts, token_ids
 from opweave.session import cut, table
@@ -50,8 +51,13 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(sized, mix_sources(sized, table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return sentence_units(docs, "doc_id", "text", "lang", learn_sentences(docs, "text", "lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
