@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from opweave.llm.lookalikes import deviating_fields, fit_lookalikes
+from opweave.llm.lookalikes import consistent_form, deviating_fields, fit_lookalikes
 from opweave.llm.mixing import mix_shares, mix_sources
+from opweave.llm.pii import find_personal, redact_personal
 from opweave.llm.runs import collapse_runs, window_key
 from opweave.llm.sentences import learn_sentences, sentence_units
 from opweave.llm.subsequences import frequent_subsequences, step_name
@@ -16,6 +17,17 @@ from opweave.session import cut, table
 TEXT_FIELDS = ["window", "text", "screen_text"]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "activities")
+    return find_personal(a, table(spark, d, "staff"), fit_lookalikes(a, ["text", "screen_text"]), "activity_id", ["text", "screen_text"])
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "activities")
+    r = redact_personal(a, table(spark, d, "staff"), fit_lookalikes(a, ["text", "screen_text"]), ["text", "screen_text"])
+    return r.select("activity_id", "text_safe", "screen_text_safe")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "activities")
     return frequent_subsequences(a, "session_id", step_name("type", "app"), "start", "activity_id")
@@ -26,6 +38,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return deviating_fields(a, fit_lookalikes(a, TEXT_FIELDS), "activity_id", TEXT_FIELDS)
 
 
+def p5_forms(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "activities")
+    r = consistent_form(a, fit_lookalikes(a, TEXT_FIELDS), TEXT_FIELDS)
+    return r.select("activity_id", *[f"{c}_form" for c in TEXT_FIELDS])
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "activities")
     win = window_key(F.col("window"), fit_lookalikes(a, ["window"]), spark)
@@ -57,7 +75,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
