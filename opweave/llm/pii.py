@@ -14,6 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -263,8 +264,6 @@ def find_personal(df: DataFrame, staff: DataFrame, model: LookalikeModel, key: s
 
 def redact_personal(df: DataFrame, staff: DataFrame, model: LookalikeModel, columns: list[str], suffix: str = "_safe", max_staff: int = 500_000) -> DataFrame:
     """Adds ``<column><suffix>``: the text with placeholders, all else unchanged; null stays null."""
-    import pandas as pd
-
     shared = df.sparkSession.sparkContext.broadcast((_staff_rows(staff, max_staff), model))
     held: list[Finder] = []
 
