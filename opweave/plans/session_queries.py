@@ -112,7 +112,7 @@ def near_pairs(spark, d):
     return S.near_pairs(acts(spark, d), "session_id", "start", "activity_id", 45, 20)
 
 
-_SHARED = """ent AS (SELECT DISTINCT session_id, activity_id, start, v AS value FROM (SELECT session_id, activity_id, start, unnest(list_append(list_transform(entities, x -> x.value), target_field)) AS v FROM acts) WHERE v IS NOT NULL),
+_SHARED = """ent AS (SELECT DISTINCT session_id, activity_id, start, v AS value FROM (SELECT session_id, activity_id, start, unnest(list_append(list_transform(entities, lambda x: x.value), target_field)) AS v FROM acts) WHERE v IS NOT NULL),
 few AS (SELECT session_id, value FROM ent GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200),
 holders AS (SELECT ent.*, row_number() OVER (PARTITION BY session_id, value ORDER BY start, activity_id) AS k FROM ent SEMI JOIN few USING (session_id, value)),
 shared AS (SELECT x.session_id, x.value, x.activity_id AS a, y.activity_id AS b FROM holders x JOIN holders y ON x.session_id = y.session_id AND x.value = y.value AND y.k BETWEEN x.k + 1 AND x.k + 5)"""
