@@ -5,6 +5,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 
 def collapse(c: Column) -> Column:
@@ -12,7 +13,7 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefold(s: pd.Series) -> pd.Series:
     """NFKC and full case folding (Arrow batches; Spark has neither)."""
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold())

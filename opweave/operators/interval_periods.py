@@ -26,6 +26,7 @@ def parse_ms(c: Column) -> Column:
     t = F.regexp_replace(F.regexp_replace(t, r"\s+(?=[Zz+-])", ""), ",", ".")
     t = F.regexp_replace(F.regexp_replace(t, "z$", "Z"), r"([+-]\d{2})(\d{2})$", "$1:$2")
     t = F.regexp_replace(t, r"([T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?[+-]\d{2})$", "$1:00")
+    t = F.regexp_replace(t, r"([T ]\d{2}:\d{2})(?=Z|[+-])", "$1:00")
     t = F.regexp_replace(t, r"(\.\d{6})\d+", "$1")
     return F.when(F.trim(c).rlike(iso), F.floor(F.unix_micros(t.try_cast("timestamp")) / 1000))
 

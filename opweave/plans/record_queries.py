@@ -76,12 +76,12 @@ def expense_lines(spark, d):
     return lines(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), s("discount"), s("tax_amount"), s("total"))
 
 
-@query("expense_metrics", f"WITH {_LINES} SELECT count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, count(*) FILTER (disc > 0) AS discounted, sum(total)::DOUBLE AS total, min(total)::DOUBLE AS least, max(total)::DOUBLE AS most, round(avg(total)::DOUBLE, 2) AS mean, round(median(total)::DOUBLE, 2) AS median FROM tot")
+@query("expense_metrics", f"WITH {_LINES} SELECT count(*) AS n, count(DISTINCT l_orderkey) AS n_orders, count(*) FILTER (disc > 0) AS discounted, sum(total)::DOUBLE AS total, min(total)::DOUBLE AS least, max(total)::DOUBLE AS most, round(avg(total)::DOUBLE, 4) AS mean, round(median(total::DOUBLE), 4) AS median FROM tot")
 def expense_metrics(spark, d):
     t = F.col("total").cast("double")
     return lines(spark, d).agg(
         F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("n_orders"), F.count_if(F.col("disc") > 0).alias("discounted"), F.sum("total").cast("double").alias("total"),
-        F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 2).alias("mean"), F.round(F.median(t), 2).alias("median"),
+        F.min(t).alias("least"), F.max(t).alias("most"), F.round(F.avg(t), 4).alias("mean"), F.round(F.median(t), 4).alias("median"),
     )
 
 
