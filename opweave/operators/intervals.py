@@ -1,10 +1,9 @@
 """Interval joins, ownership under explicit tie rules, boundary matching and run merging."""
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opweave.plans.positions import with_positions
+from opweave.plans.groups import map_groups
 from opweave.plans.sequence import island_ids, sequence
 
 SMALL_MS, LARGE_MS = 600_000, 86_400_000
@@ -66,9 +65,9 @@ def greedy_iou(pairs: DataFrame, a_key: str, b_key: str) -> DataFrame:
 
 
 def _match(kind: str, tol: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = sorted(g.loc[g["side"] == "p", "t"])
-        q = sorted(g.loc[g["side"] == "g", "t"])
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        p = sorted(t for side, t in rows if side == "p")
+        q = sorted(t for side, t in rows if side == "g")
         n = 0
         if kind == "two_pointer":
             p, q, i, j = sorted(set(p)), sorted(set(q)), 0, 0
@@ -89,7 +88,7 @@ def _match(kind: str, tol: int):
                 if best is not None:
                     used[best] = True
                     n += 1
-        return pd.DataFrame({"entity": [g["entity"].iloc[0]], "tp": [n], "n_pred": [len(p)], "n_gt": [len(q)]})
+        return [(key[0], n, len(p), len(q))]
 
     return run
 
@@ -106,7 +105,7 @@ def match_boundaries(points: DataFrame, tol_ms: int, kind: str) -> DataFrame:
     y = y.withColumn("before", F.lag("t").over(w)).filter("own")
     y = island_ids(y, "entity", F.col("before").isNull() | (F.col("t") - F.col("before") > tol_ms), "cluster")
     y = y.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("entity", "cluster", "side", "t")
-    got = y.groupBy("entity", "cluster").applyInPandas(_match(kind, tol_ms), "entity string, tp long, n_pred long, n_gt long")
+    got = map_groups(y, ["entity", "cluster"], ["t"], _match(kind, tol_ms), "entity string, tp bigint, n_pred bigint, n_gt bigint")
     return got.groupBy("entity").agg(F.sum("tp").alias("tp"), F.sum("n_pred").alias("n_pred"), F.sum("n_gt").alias("n_gt"))
 
 
@@ -117,13 +116,11 @@ def precision_recall(tp: Column, n_pred: Column, n_gt: Column) -> list[Column]:
 
 
 def _absorb_short(min_us: int):
-    """Merges the short runs of one island; sides: whether a long run stands left and right of it."""
+    """Merges the short runs of one island; has_left, has_right: whether a long run stands beside it."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("run_no")
-        left, right = bool(g["has_left"].iloc[0]), bool(g["has_right"].iloc[0])
-        runs = [[r.start_us, r.end_us, r.p_left, [r.run_no]] for r in g.itertuples()]
-        p_right = g["p_right"].iloc[-1]
+    def run(key: tuple, rows: list[tuple]) -> list[tuple]:
+        left, right, p_right = bool(rows[0][4]), bool(rows[0][5]), rows[-1][6]
+        runs = [[start, end, p_left, [no]] for no, start, end, p_left, *_ in rows]
         owner = {}
         while runs:
             if len(runs) == 1 and not left and not right:
@@ -132,9 +129,8 @@ def _absorb_short(min_us: int):
             if k is None:
                 break
             first, last = k == 0 and not left, k == len(runs) - 1 and not right
-            pl = runs[k][2]
             pr = runs[k + 1][2] if k + 1 < len(runs) else p_right
-            to_left = last or not first and pl >= pr
+            to_left = last or not first and runs[k][2] >= pr
             r = runs.pop(k)
             if to_left and k == 0:
                 owner |= {n: -1 for n in r[3]}  # joins the long run on the left
@@ -148,7 +144,7 @@ def _absorb_short(min_us: int):
                 runs[k][3] = r[3] + runs[k][3]
         for i, r in enumerate(runs):
             owner |= {n: i for n in r[3]}
-        return pd.DataFrame({"entity": g["entity"], "run_no": g["run_no"], "start_us": g["start_us"], "end_us": g["end_us"], "island": g["island"], "part": [owner[n] for n in g["run_no"]]})
+        return [(key[0], start, end, key[1], owner[no]) for no, start, end, *_ in rows]
 
     return run
 
@@ -168,7 +164,8 @@ def merge_short_runs(runs: DataFrame, min_s: float) -> DataFrame:
     ends = short.groupBy(F.col("entity").alias("e"), F.col("island").alias("i")).agg(F.max_by("after_long", "pos").alias("after"), F.min_by("before_long", "pos").alias("before"))
     short = short.join(ends, (F.col("entity") == F.col("e")) & (F.col("island") == F.col("i")))
     short = short.withColumn("has_left", F.coalesce("before", F.lit(False))).withColumn("has_right", F.coalesce("after", F.lit(False)))
-    decided = short.groupBy("entity", "island").applyInPandas(_absorb_short(min_us), "entity string, run_no long, start_us long, end_us long, island long, part int")
+    short = short.select("entity", "island", "run_no", "start_us", "end_us", "p_left", "has_left", "has_right", "p_right")
+    decided = map_groups(short, ["entity", "island"], ["run_no"], _absorb_short(min_us), "entity string, start_us bigint, end_us bigint, island bigint, part int")
     # islands count up at every long run and at the first short one after it: the long run on the left is island - 1, on the right island + 1
     key = F.when(F.col("part") == -1, F.struct((F.col("island") - 1).alias("i"), F.lit(0).alias("p"))).when(F.col("part") == -2, F.struct((F.col("island") + 1).alias("i"), F.lit(0).alias("p"))).otherwise(F.struct(F.col("island").alias("i"), F.col("part").alias("p")))
     rows = decided.select("entity", "start_us", "end_us", key.alias("k")).unionByName(y.filter("long").select("entity", "start_us", "end_us", F.struct(F.col("island").alias("i"), F.lit(0).alias("p")).alias("k")))

@@ -90,7 +90,7 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))
     for name, df, want in (("gaps", streaming_gap_sessions(stream, "u", "ts"), {2, 1}), ("counts", streaming_counts(stream, "ts"), {3})):
         q = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
+        q.awaitTermination(60)
         assert {r.n for r in spark.table(name).collect()} <= want and spark.table(name).count() >= 1
 
 
@@ -99,6 +99,7 @@ def test_stream_of_activities(spark, tmp_path):
     rows = [(x["event_id"], "s", x["timestamp_ms"], x["timestamp_iso"], x["event_type"], json.dumps(x["payload"]), json.dumps(x["context"]), json.dumps(x["correlation"])) for x in e]
     df = spark.createDataFrame(rows, "event_id string, session_id string, timestamp_ms long, timestamp_iso string, event_type string, payload string, context string, correlation string")
     df.write.parquet(str(tmp_path / "raw"))
-    q = streaming_activities(spark.readStream.schema(df.schema).parquet(str(tmp_path / "raw"))).writeStream.format("memory").queryName("acts").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = streaming_activities(spark.readStream.schema(df.schema).parquet(str(tmp_path / "raw"))).writeStream.format("memory").queryName("acts").outputMode("append").trigger(once=True).start()  # one batch: time-outs would keep it going
+    q.awaitTermination(60)
+    q.stop()
     assert [r.text for r in spark.table("acts").collect()][:1] == ["hi"]  # the open run may come with a time-out
