@@ -223,7 +223,7 @@ class Rewriter:
         """Marks left over after the automaton (stacked, out of order): composed in place."""
         back = [source_offset(anchors, i) for i in range(len(t) + 1)]
         out, new, at = [], [(0, 0)], 0
-        for m in re.finditer(r"[^\W\d_][̀-֑ͯ-ׇؐ-़゙゚ۜ]+", t):
+        for m in re.finditer(r"(?:[^\W\d_])?[̀-֑ͯ-ׇؐ-़゙゚ۜ]+", t):
             c = unicodedata.normalize("NFC", m.group())
             if c != m.group():
                 out += [(t[at : m.start()], at), (c, m.start())]
@@ -344,7 +344,7 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not t.isascii():
                     words.update(CJK_RUN.findall(t))
         keys = [chr(c) for c in points if not 0xD800 <= c < 0xE000]
-        yield pa.RecordBatch.from_pydict({"kind": ["p"] * len(keys), "key": keys, "n": pa.array([points[ord(k)] for k in keys], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"kind": pa.array(["p"] * len(keys), pa.string()), "key": pa.array(keys, pa.string()), "n": pa.array([points[ord(k)] for k in keys], pa.int64())})
         yield pa.RecordBatch.from_pydict({"kind": pa.array(["w"] * len(words), pa.string()), "key": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
 
 

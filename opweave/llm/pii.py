@@ -114,7 +114,7 @@ class Finder:
         g, f, t = alt(given), alt(family), f"(?:{TITLES.lower()})"
         edge = r"(?<![\w@.+-])"
         self.person = re.compile(
-            rf"{edge}(?:{t}\.? )?(?:(?:{g})(?: [a-z]\.)? (?:{f})|(?:{f}), (?:{g})(?: [a-z]\.)?|[a-z]\. (?:[a-z]\. )?(?:{f})|{t}\.? (?:{f}))(?![\w@]|[.+-]\w*@|-[a-z])"
+            rf"{edge}(?:{t}\.? )?(?:(?:{g})(?: [a-z]\.)? (?:{f})|(?:{f}), (?:{g})(?! (?:[a-z]\. )?(?:{f}))(?: [a-z]\.)?|[a-z]\. (?:[a-z]\. )?(?:{f})|{t}\.? (?:{f}))(?![\w@]|[.+-]\w*@|-[a-z])"
         )
         self.titled = re.compile(rf"(?<![\w@.+-])(?:Mrs|Mr|Ms|Dr|Prof|Mme|Herr|Frau|Sra|Sr)\.? (?:[A-ZÀ-Þ]\. )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?(?![\w@])") if not family else None
         self.local = re.compile(rf"(?:{alt(lf)}) ?(?:{alt(lg)})(?: ?(?:{HONORIFICS}))?|(?:{alt(lf)}) ?(?:{HONORIFICS})")
