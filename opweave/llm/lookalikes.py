@@ -213,10 +213,10 @@ class Rewriter:
             if len(v or "") != len(k):
                 anchors.append((n, at))
         out.append(text[at:])
-        t = "".join(out)
+        t = self._cjk(self._words("".join(out)))
         if not unicodedata.is_normalized("NFC", t):
             t, anchors = self._marks(t, anchors)
-        return self._cjk(self._words(t)), anchors
+        return t, anchors
 
     @staticmethod
     def _marks(t: str, anchors: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
