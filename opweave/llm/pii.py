@@ -36,7 +36,7 @@ TOWN_SECOND = "Falls|Bay|Heights|Park|City|Springs|Hills|Beach|Grove|Lake|Valley
 DE_STREETS = "straße|strasse|str\\.|allee|weg|gasse|platz|ring|ufer|damm"
 FR_STREETS = "rue|avenue|impasse|boulevard|place|chemin|quai|allée|cours|route"
 BUILDINGS = "コーポ|ハイツ|マンション|メゾン|レジデンス|ビル|パレス|荘|アパート"
-NOT_PERSONAL = r"(?:order|serial|counter|ticket|ticket number|part|part no\.?|no\.|ref\.?|batch|lot|ratio|build|version|invoice|tracking|tracking no\.?|item|room|row|line|shelf|追跡番号|注文番号|伝票|製番|版|様式|号機)\s*[:：#]?\s*$"
+NOT_PERSONAL = r"(?<![a-z])(?:order|serial|counter|ticket|ticket number|part|part no\.?|no\.|ref\.?|batch|lot|ratio|build|version|invoice|tracking|tracking no\.?|item|room|row|line|shelf|追跡番号|注文番号|伝票|製番|版|様式|号機) ?[:：#]? ?$"
 COMPANY = re.compile(r"(?:,? (?:gmbh|ltd|inc|sarl|llc|plc|corp|co|kk|k\.k|ag|s\.a)\b|\s?&\s|\s(?:tools|freight|papier|catering|systems|logistics|bureau|works|holdings)\b|-projekt)", re.I)
 BEFORE_NAME = re.compile(r"(?:project|projekt|release|version)\s$", re.I)
 
@@ -68,17 +68,18 @@ BARE_ID = re.compile(r"(?<![\w.+/-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2} [0-9]
 NEGATIVE = re.compile(NOT_PERSONAL, re.I)
 
 _TOWN = rf"[A-ZÀ-Þ][\w'’-]+(?: (?:{TOWN_SECOND}))?"
+_SEP = r"(?:, |,?\r?\n)"
 _UNIT = r"(?:Apartment|Apt|Unit|Flat|Suite|Floor)\.? ?[0-9]{1,5}[A-Za-z]?"
 _POST = r"(?:,? (?:[A-Z]{2} )?[0-9]{5}(?:-[0-9]{4})?\b| [A-Z]{1,2}[0-9]{1,2} [0-9][A-Z]{2}\b)"
 ADDRESSES = re.compile(
     "|".join(
         (
-            rf"(?:{_UNIT},? )?\b[0-9]{{1,5}}[A-Za-z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’-]+ ){{1,3}}(?:{STREETS})\b\.?(?:, {_UNIT})?, {_TOWN}(?:{_POST})?",
+            rf"(?:{_UNIT},? )?\b[0-9]{{1,5}}[A-Za-z]? (?:[NSEW]\.? )?(?:[A-Z][\w'’-]+ ){{1,3}}(?:{STREETS})\b\.?(?:{_SEP}{_UNIT})?(?:, {_TOWN}(?:{_POST})?|\r?\n{_TOWN}{_POST})",
             rf"\b[0-9]{{1,5}}[a-z]? (?:[nsew]\.? )?(?:[a-z'’-]+ ){{1,3}}(?:{STREETS.lower()})\b\.?,? [a-zà-þ'’-]{{3,}}(?: (?:{TOWN_SECOND.lower()})\b)?(?:{_POST.lower()})?",
-            rf"\bP\. ?O\. ?Box [0-9]+(?:, {_TOWN})?(?:{_POST})?",
-            rf"\bPO Box [0-9]+, {_TOWN}(?:{_POST})?",
-            rf"\b(?:[A-ZÄÖÜ][\wäöüß-]*(?:{DE_STREETS})|(?:Am|An der|An den|Im|Zum|Zur|Auf dem|Unter den|Hinter der) [A-ZÄÖÜ][\wäöüß-]+) [0-9]{{1,4}} ?[a-z]?, [0-9]{{4,5}} [A-ZÄÖÜ][\wäöüß-]+(?: (?:am|an der|im|bei|ob der) [A-ZÄÖÜ][\wäöüß]+)?",
-            rf"\b[0-9]{{1,4}}(?: bis| ter| quater)?,? (?:{FR_STREETS}) [^,\n0-9]{{3,40}}, [0-9]{{5}} (?:(?:La|Le|Les|Saint|Sainte) )?[A-ZÀ-Þ][\wà-ÿ'’-]+",
+            rf"\bP\. ?O\. ?Box [0-9]+(?:{_SEP}{_TOWN})?(?:{_POST})?",
+            rf"\bPO Box [0-9]+{_SEP}{_TOWN}(?:{_POST})?",
+            rf"\b(?:[A-ZÄÖÜ][\wäöüß-]*(?:{DE_STREETS})|(?:Am|An der|An den|Im|Zum|Zur|Auf dem|Unter den|Hinter der) [A-ZÄÖÜ][\wäöüß-]+) [0-9]{{1,4}} ?[a-z]?{_SEP}[0-9]{{4,5}} [A-ZÄÖÜ][\wäöüß-]+(?: (?:am|an der|im|bei|ob der) [A-ZÄÖÜ][\wäöüß]+)?",
+            rf"\b[0-9]{{1,4}}(?: bis| ter| quater)?,? (?:{FR_STREETS}) [^,\n0-9]{{3,40}}{_SEP}[0-9]{{5}} (?:(?:La|Le|Les|Saint|Sainte) )?[A-ZÀ-Þ][\wà-ÿ'’-]+",
             rf"(?:〒 ?[0-9]{{3}}{_D}?[0-9]{{4}}\s?)?[一-鿿]{{1,4}}[都道府県][{_H}]{{1,14}}?(?:[0-9一二三四五六七八九十]{{1,3}}丁目(?:[0-9]{{1,4}}番地?(?:[0-9]{{1,4}}号?)?)?|[0-9]{{1,4}}番地?(?:[0-9]{{1,4}}号?)?|[0-9]{{1,4}}(?:{_D}[0-9]{{1,4}}){{1,3}})(?: ?(?:{BUILDINGS})[^\s0-9、。]{{0,8}} ?[0-9]{{1,5}}(?:号室)?)?",
         )
     )
@@ -160,6 +161,8 @@ class Finder:
                 for m in ADDRESSES.finditer(t, lo, hi):
                     put(*m.span(), "address")
             self._numbers(t, put)
+        for a, b, _ in spans:  # what is taken is no part of a name
+            low = low[:a] + "\0" * (b - a) + low[b:]
         for lo, hi in _windows(seen.get("name", ()), len(t)):
             for m in self.person.finditer(low, lo, hi):
                 if not COMPANY.match(t, m.end()) and not BEFORE_NAME.search(t, max(0, m.start() - 12), m.start()) and _cased(t[m.start() : m.end()]):
