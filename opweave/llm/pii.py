@@ -36,7 +36,7 @@ TOWN_SECOND = "Falls|Bay|Heights|Park|City|Springs|Hills|Beach|Grove|Lake|Valley
 DE_STREETS = "straße|strasse|str\\.|allee|weg|gasse|platz|ring|ufer|damm"
 FR_STREETS = "rue|avenue|impasse|boulevard|place|chemin|quai|allée|cours|route"
 BUILDINGS = "コーポ|ハイツ|マンション|メゾン|レジデンス|ビル|パレス|荘|アパート"
-NOT_PERSONAL = r"(?<![a-z])(?:order|serial|counter|ticket|ticket number|part|part no\.?|no\.|ref\.?|batch|lot|ratio|build|version|invoice|tracking|tracking no\.?|item|room|row|line|shelf|追跡番号|注文番号|伝票|製番|版|様式|号機) ?[:：#]? ?$"
+NOT_PERSONAL = r"(?<![a-z])(?:order|serial|counter|ticket|ticket number|part|part no\.?|no\.|ref\.?|batch|lot|ratio|build|version|invoice|tracking|tracking no\.?|item|room|row|line|shelf|追跡番号|注文番号|伝票|製番|版|様式|号機) ?[:：#]? ?\Z"
 COMPANY = re.compile(r"(?:,? (?:gmbh|ltd|inc|sarl|llc|plc|corp|co|kk|k\.k|ag|s\.a)\b|\s?&\s|\s(?:tools|freight|papier|catering|systems|logistics|bureau|works|holdings)\b|-projekt)", re.I)
 BEFORE_NAME = re.compile(r"(?:project|projekt|release|version)\s$", re.I)
 
