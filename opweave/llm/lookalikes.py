@@ -241,7 +241,7 @@ class Rewriter:
             return t
         words = [(m.start(), m.group()) for m in WORD.finditer(t)]
         kinds = [_word_script(w) for _, w in words]
-        chars = None
+        chars = near = None
         for i, (at, w) in enumerate(words):
             if not HAS_OTHER.search(w) and kinds[i] != "?":
                 continue
@@ -249,28 +249,18 @@ class Rewriter:
             if to == "?":
                 if all(script(c) == "LATIN" for c in w):
                     continue
-                to = self._by_neighbours(words, kinds, i)
+                near = near or _nearest(words, kinds)
+                to = self._by_neighbours(w, near[i])
             new = _to_script(w, to)
             if new != w:
                 chars = chars or list(t)
                 chars[at : at + len(w)] = new
         return "".join(chars) if chars else t
 
-    def _by_neighbours(self, words: list[tuple[int, str]], kinds: list[str], i: int) -> str:
-        at, w = words[i]
+    def _by_neighbours(self, w: str, near: str) -> str:
         own = {script(c) for c in w}
         if len(own) > 1:
             return "LATIN"
-        near, best = "", None
-        for step in (-1, 1):
-            j = i + step
-            while 0 <= j < len(words):
-                if kinds[j] not in "?!":
-                    d = at - words[j][0] - len(words[j][1]) if step < 0 else words[j][0] - at - len(w)
-                    if best is None or d < best:
-                        near, best = kinds[j], d
-                    break
-                j += step
         if near and near not in own:
             return "LATIN"
         rep = self.model.strings.get(skeleton(w), "")
@@ -299,6 +289,26 @@ class Rewriter:
         return "".join(out)
 
 
+def _nearest(words: list[tuple[int, str]], kinds: list[str]) -> list[str]:
+    """Script of the nearest word with a decisive one, '' if there is none; the earlier wins ties."""
+    n = len(words)
+    left: list[int | None] = [None] * n
+    right: list[int | None] = [None] * n
+    for order, side in ((range(n), left), (range(n - 1, -1, -1), right)):
+        last = None
+        for i in order:
+            side[i] = last
+            if kinds[i] not in "?!":
+                last = i
+    out = []
+    for i, (at, w) in enumerate(words):
+        a, b = left[i], right[i]
+        da = at - words[a][0] - len(words[a][1]) if a is not None else None
+        db = words[b][0] - at - len(w) if b is not None else None
+        out.append("" if da is None and db is None else kinds[a] if db is None or da is not None and da <= db else kinds[b])
+    return out
+
+
 def _word_script(w: str) -> str:
     """Script of the letters without twins; '?' if all have twins, '!' if two scripts are decisive."""
     own = {script(c) for c in w if c not in LATIN_TWINS and c not in _TO_LATIN}

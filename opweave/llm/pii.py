@@ -145,11 +145,12 @@ class Finder:
             seen.setdefault(kind, []).append(end - len(w) + 1)
         spans: list[tuple[int, int, str]] = []
 
-        def put(a: int, b: int, kind: str) -> bool:
-            if all(b <= x or a >= y for x, y, _ in spans):
+        taken = bytearray(len(t))
+
+        def put(a: int, b: int, kind: str) -> None:
+            if taken.find(1, a, b) < 0:
                 spans.append((a, b, kind))
-                return True
-            return False
+                taken[a:b] = b"\1" * (b - a)
 
         for lo, hi in _windows(seen.get("email", ()), len(t)):
             for m in EMAIL.finditer(t, lo, hi):
@@ -161,8 +162,11 @@ class Finder:
                 for m in ADDRESSES.finditer(t, lo, hi):
                     put(*m.span(), "address")
             self._numbers(t, put)
-        for a, b, _ in spans:  # what is taken is no part of a name
-            low = low[:a] + "\0" * (b - a) + low[b:]
+        pieces, at = [], 0
+        for a, b, _ in sorted(spans):  # what is taken is no part of a name
+            pieces += [low[at:a], "\0" * (b - a)]
+            at = b
+        low = "".join([*pieces, low[at:]])
         for lo, hi in _windows(seen.get("name", ()), len(t)):
             for m in self.person.finditer(low, lo, hi):
                 if not COMPANY.match(t, m.end()) and not BEFORE_NAME.search(t, max(0, m.start() - 12), m.start()) and _cased(t[m.start() : m.end()]):

@@ -7,6 +7,7 @@ brackets, ellipses and Thai spaces follow rules.
 """
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -26,7 +27,13 @@ OPENING = set("([{（［「『【《〈“«„‹¿¡")
 THAI = "ก-ฺเ-๎"
 THAI_SPACE = re.compile(f"(?<=[{THAI}])[^\\S\\r\\n]+(?=[{THAI}])")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿ｦ-ﾟ]")
+_FAR = re.compile("[\u0371-\U0010ffff]")
+_THAI_LETTER = re.compile(f"[{THAI}]")
+_LATIN = re.compile("[A-Za-zªµºÀ-ÖØ-öø-ʯ]")
+_DIGIT = re.compile(r"\d")
+_SURE = re.compile(r"[!?؟]\W*\s")
 KANA = re.compile(r"[぀-ヿｦ-ﾟ]")
+_SCRIPT_OF = {"ja": KANA, "zh": re.compile("[㐀-䶿一-鿿]"), "th": re.compile("[฀-๿]"), "hi": re.compile("[ऀ-ॿ]"), "ar": re.compile("[؀-ۿ]")}
 ENUMERATOR = re.compile(r"\s*(?:\d{1,3}|[A-Za-z])\.(?=\s)")
 TOKEN = re.compile(r"[^\s()\[\]{}\"“”«»„‹›「」『』（）,;:!?¿¡…]+")
 # fixed values: frequent function words that tell the Latin-script languages apart
@@ -42,16 +49,13 @@ MIN_SHARE = 1e-5  # share of a language's tokens that a counted type holds at le
 
 def line_language(line: str, label: str) -> str:
     """ja, zh, th, hi, ar by script; en, de, fr, es by function words, else by the document's label."""
-    if not line.isascii():
-        n = Counter()
-        for ch in line:
-            if ch > "Ͱ":
-                n["ja" if KANA.match(ch) else "zh" if CJK.match(ch) else "th" if "฀" <= ch <= "๿" else "hi" if "ऀ" <= ch <= "ॿ" else "ar" if "؀" <= ch <= "ۿ" else ""] += 1
-        n.pop("", None)
-        latin = sum(c.isalpha() and c < "Ͱ" for c in line)
-        top = n.most_common(1)
-        if top and (sum(n.values()) * 2 >= latin or top[0][0] in ("ar", "hi", "th") and sum(n.values()) * 4 >= latin or n["ja"] >= 3):
-            return "ja" if n["ja"] and top[0][0] in ("zh", "ja") else "zh" if top[0][0] == "zh" and label != "ja" else "ja" if top[0][0] == "zh" else top[0][0]
+    if _FAR.search(line):
+        n = {k: len(p.findall(line)) for k, p in _SCRIPT_OF.items()}
+        far = sum(n.values())
+        latin = len(_LATIN.findall(line))
+        top = max(n, key=n.get)
+        if far and (far * 2 >= latin or top in ("ar", "hi", "th") and far * 4 >= latin or n["ja"] >= 3):
+            return "ja" if n["ja"] and top in ("zh", "ja") else "zh" if top == "zh" and label != "ja" else "ja" if top == "zh" else top
     votes: Counter = Counter()
     for w in line.lower().split():
         for k in _WORDS.get(w.strip(".,!?()\"'"), ()):
@@ -65,7 +69,7 @@ def line_language(line: str, label: str) -> str:
 
 def word_type(token: str) -> str:
     """Lower case; tokens with digits count as numbers."""
-    return "##" if any(c.isdigit() for c in token) else token.lower()
+    return "##" if _DIGIT.search(token) else token.lower()
 
 
 @dataclass
@@ -155,7 +159,8 @@ def _line_counts(line: str, lang: str, c: Counter) -> None:
     tokens = list(TOKEN.finditer(line))
     if MARKS.search(line):  # what is quoted or bracketed has no boundaries to learn from
         ends, _ = _pairs(line)
-        tokens = [t for t in tokens if not any(a < t.start() < b for a, b in ends.items())]
+        outer = _outer(ends)
+        tokens = [t for t in tokens if _within(outer, t.start()) is None]
     prev_end_sure = True
     body = ENUMERATOR.match(line)
     for i, t in enumerate(tokens):
@@ -172,7 +177,7 @@ def _line_counts(line: str, lang: str, c: Counter) -> None:
                 c[("s", w.rstrip("."))] += 1
         gap = line[t.end() : tokens[i + 1].start()] if i + 1 < len(tokens) else ""
         mark = gap.lstrip()[:1]
-        prev_end_sure = bool(re.search(r"[!?؟]\W*\s", gap)) or w.endswith("।")
+        prev_end_sure = bool(_SURE.search(gap)) or w.endswith("।")
         if dot and not (body and t.end() <= body.end()):
             c[("d", core)] += 1
             if i + 1 < len(tokens):
@@ -221,39 +226,56 @@ def learn_sentences(df: DataFrame, text: str, lang: str) -> SentenceModel:
 def _pairs(line: str) -> tuple[dict[int, int], dict[int, int]]:
     """Matched opening -> closing offsets and back; unmatched marks are left out."""
     stack: list[tuple[str, int]] = []
+    open_now: Counter = Counter()
     ends: dict[int, int] = {}
+
+    def close(fits) -> bool:
+        if not any(n and fits(c) for c, n in open_now.items()):
+            return False
+        while True:
+            c, at = stack.pop()
+            open_now[c] -= 1
+            if fits(c):
+                ends[at] = i
+                return True
+
     for m in MARKS.finditer(line):
         ch, i = m.group(), m.start()
         if ch == '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if at is not None:
-                ends[stack[at][1]] = i
-                del stack[at:]
-            elif not (i and line[i - 1].isdigit()):
-                stack.append((ch, i))
+            if close(lambda c: c == '"') or i and line[i - 1].isdigit():
+                continue
+        elif close(lambda c: ch in OPEN.get(c, "")) or ch not in OPEN:
             continue
-        at = next((k for k in range(len(stack) - 1, -1, -1) if ch in OPEN.get(stack[k][0], "")), None)
-        if at is not None:
-            ends[stack[at][1]] = i
-            del stack[at:]
-        elif ch in OPEN:
-            stack.append((ch, i))
+        stack.append((ch, i))
+        open_now[ch] += 1
     return ends, {b: a for a, b in ends.items()}
 
 
+def _outer(ends: dict[int, int]) -> list[tuple[int, int]]:
+    """The outermost pairs, in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ends.items()):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
+def _within(outer: list[tuple[int, int]], i: int) -> tuple[int, int] | None:
+    """The outermost pair around offset i."""
+    k = bisect.bisect_left(outer, (i, 0)) - 1
+    return outer[k] if k >= 0 and i < outer[k][1] else None
+
+
 def segment_line(line: str, lang: str, model: SentenceModel) -> list[int]:
     """Offsets in the line at which a unit ends (the line's end not included)."""
     cuts: list[int] = []
     runs = list(RUN.finditer(line))
-    thai = lang == "th" or "฀" <= max(line, default="") <= "๿" or any("ก" <= c <= "๎" for c in line)
+    thai = _THAI_LETTER.search(line) is not None
     if not runs and not thai:
         return cuts
     ends, starts = _pairs(line) if MARKS.search(line) else ({}, {})
-    outer: list[tuple[int, int]] = []
-    for a, b in sorted(ends.items()):
-        if not outer or a > outer[-1][1]:
-            outer.append((a, b))
-    inside = lambda i: next(((a, b) for a, b in outer if a < i < b), None)
+    outer = _outer(ends)
+    inside = lambda i: _within(outer, i)
     first = ENUMERATOR.match(line)
     for m in runs:
         p, q = m.span()
@@ -312,7 +334,7 @@ def _ends(line: str, run: str, p: int, q: int, ch: str, nx: int, spaced: bool, q
         return False
     if quoted and not (ch.isupper() or opening or ch.isdigit()):
         return False
-    t = re.search(r"[^\s()\[\]{}\"“”«»„‹›「」『』（）,;:!?…]+$", line[:p])
+    t = re.search(r"[^\s()\[\]{}\"“”«»„‹›「」『』（）,;:!?…]+$", line[max(0, p - 80) : p])
     if t is None:
         return True
     core = word_type(t.group().strip("."))
