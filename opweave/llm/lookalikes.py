@@ -213,7 +213,10 @@ class Rewriter:
             if len(v or "") != len(k):
                 anchors.append((n, at))
         out.append(text[at:])
-        t = self._cjk(self._words("".join(out)))
+        t = "".join(out)
+        if not unicodedata.is_normalized("NFC", t):
+            t, anchors = self._marks(t, anchors)
+        t = self._cjk(self._words(t))  # one character each: no offset moves, but a letter may now take its mark
         if not unicodedata.is_normalized("NFC", t):
             t, anchors = self._marks(t, anchors)
         return t, anchors
