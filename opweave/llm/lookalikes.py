@@ -285,7 +285,7 @@ class Rewriter:
         for i, c in enumerate(w):  # no representative: the neighbours decide
             a, b = out[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
             kana = lambda x: bool(x) and "ァ" <= x <= "ヿ"
-            if c in _HAN_OF and kana(a) and (kana(b) or not b and len(w) > 2 and kana(w[i - 2])):
+            if c in _HAN_OF and kana(a) and (kana(b) or not b and i > 1 and kana(out[i - 2])):
                 out[i] = _HAN_OF[c]
             elif c in KANA_TWINS and c not in "ノヘベペ" and a and b and not kana(a) and not kana(b) and a not in "へべぺ" and rep is None and c == "ー":
                 out[i] = KANA_TWINS[c]
