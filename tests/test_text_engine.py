@@ -117,3 +117,17 @@ def test_spark_equals_fold(spark):
     want = sorted((s, a["activity_id"], a["type"], a["text"], a["verification_status"]) for s in ("s", "t") for a in build(events, s))
     assert got == want
     assert build_activities(df.limit(0)).count() == 0
+
+
+def test_declarative_echoes(spark):
+    from opweave.operators.activity_builder import mark_echoes
+
+    rows = [("s", "e0", 0, 0, "keystroke", "v", "f", True), ("s", "e1", 1, 1, "shortcut", None, None, False), ("s", "e2", 2, 2, "keystroke", "v", "f", False), ("s", "e3", 40, 3, "keystroke", "v", "f", False), ("s", "e4", 41, 4, "keystroke", "x", "f", True), ("s", "e5", 60, 5, "keystroke", "x", "f", False)]
+    df = spark.createDataFrame(rows, "session_id string, event_id string, timestamp_ms long, seq long, event_type string, key string, target string, command boolean")
+    assert {r.event_id for r in mark_echoes(df).filter("echo").collect()} == {"e2"}
+
+
+def test_listed_keystrokes_swallow_their_echo():
+    e = [ev(0, 0, key="a", char="a"), ev(1, 4, key="a", char="a"), ev(2, 30, key="b", char="b"), ev(3, 500, "text_input_complete", payload={"related_keystrokes": ["e0", "e2"], "value": "ab"})]
+    got = build(e, "s")
+    assert [a["text"] for a in got] == ["ab"] and got[0]["verification_status"] == "VERIFIED_INPUT_COMPLETE"
