@@ -35,8 +35,8 @@ def process_segments(log: DataFrame, entity: str, time: str, key: str) -> DataFr
 
 def match_one_to_one(a: DataFrame, b: DataFrame, keys: list[str], a_order: list[str], b_order: list[str]) -> DataFrame:
     """Full outer join that pairs the k-th row of a with the k-th of b inside equal keys; leftovers of both sides stay."""
-    ra = a.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*a_order)))
-    rb = b.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*b_order)))
+    ra = a.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*a_order)).cast("long"))
+    rb = b.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy(*b_order)).cast("long"))
     return ra.join(rb, [*keys, "k"], "full_outer")
 
 

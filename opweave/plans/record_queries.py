@@ -91,7 +91,7 @@ def expense_groups(spark, d):
     """All one-key groupings in one pass, the top 100 of each."""
     lines(spark, d).createOrReplaceTempView("__expense_lines")
     g = spark.sql("SELECT CASE WHEN grouping(l_suppkey) = 0 THEN 'supplier' ELSE 'flag' END AS dimension, coalesce(cast(l_suppkey AS string), l_returnflag) AS key, count(*) AS n, sum(total) AS total FROM __expense_lines GROUP BY GROUPING SETS ((l_suppkey), (l_returnflag))")
-    k = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("total"), "key"))
+    k = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("total"), "key")).cast("long")
     return g.withColumn("k", k).filter("k <= 100").select("dimension", "key", "n", F.col("total").cast("double").alias("total"), "k")
 
 

@@ -29,7 +29,7 @@ def tfidf_words(spark, d):
     """The five heaviest words of each document."""
     t = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,})"), F.lit(1))).alias("term"))
     t = V.tfidf(t, "doc", "term").withColumn("weight", F.round("weight", 6))
-    k = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("weight"), "term"))
+    k = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("weight"), "term")).cast("long")
     return t.withColumn("k", k).filter("k <= 5")
 
 

@@ -97,7 +97,7 @@ def workflow_summary(spark, d):
     total = F.sum("total_ms").over(Window.partitionBy())
     return x.select(
         "label", "n_executions", "n_sessions", "n_actors", "total_ms", "median_ms", F.round(F.col("total_ms") / F.col("n_executions"), 3).alias("mean_ms"), F.round(F.col("total_ms") / total, 6).alias("share"),
-        F.round(F.log1p("n_executions") * F.log1p(F.col("total_ms") / 1000), 6).alias("score"), F.round("dom", 6).alias("dominant_share"), F.row_number().over(Window.orderBy(F.desc("n_executions"), F.desc("total_ms"), "label")).alias("rank"),
+        F.round(F.log1p("n_executions") * F.log1p(F.col("total_ms") / 1000), 6).alias("score"), F.round("dom", 6).alias("dominant_share"), F.row_number().over(Window.orderBy(F.desc("n_executions"), F.desc("total_ms"), "label")).cast("long").alias("rank"),
     )
 
 
@@ -106,7 +106,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS
 def top_evidence(spark, d):
     """Most common apps of a workflow; ties keep the first seen."""
     c = owned(spark, d).filter("app is not null").groupBy("label", "app").agg(F.count("*").alias("n"), F.min(F.struct("start", "activity_id")).alias("first"))
-    return c.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "first"))).filter("k <= 3").select("label", "app", "n", "k")
+    return c.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "first")).cast("long")).filter("k <= 3").select("label", "app", "n", "k")
 
 
 @query("representatives", f"""WITH {ACTS}, {SEGS}, {_OWNED}, c AS (SELECT session_id, seg, any_value(label) AS label, count(*) AS n, any_value(b_e - b_s) AS ms, any_value(b_s) AS s FROM owned GROUP BY 1, 2),
@@ -114,7 +114,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, ms DESC,
 def representatives(spark, d):
     c = owned(spark, d).groupBy("session_id", "seg").agg(F.min("label").alias("label"), F.count("*").alias("n"), F.min(F.col("b_e") - F.col("b_s")).alias("ms"), F.min("b_s").alias("s"))
     w = Window.partitionBy("label").orderBy(F.desc("n"), F.desc("ms"), "session_id", "s", "seg")
-    return c.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("label", "session_id", "seg", "n", "ms", "k")
+    return c.withColumn("k", F.row_number().over(w).cast("long")).filter("k <= 3").select("label", "session_id", "seg", "n", "ms", "k")
 
 
 @query("top_sessions", f"WITH {ACTS} SELECT session_id, count(*) AS n FROM acts GROUP BY 1 ORDER BY n DESC, session_id LIMIT 10")

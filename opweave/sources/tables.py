@@ -23,7 +23,7 @@ def valid_segments(df: DataFrame) -> DataFrame:
 def labelled_segments(df: DataFrame) -> DataFrame:
     """valid_segments with a label, one label (the least) for each interval, and the 1-based index in the session."""
     x = valid_segments(df).filter("trim(label) <> ''").groupBy("session_id", "s", "e").agg(F.min("label").alias("label"))
-    return x.withColumn("seg", F.row_number().over(Window.partitionBy("session_id").orderBy("s", "e")))
+    return x.withColumn("seg", F.row_number().over(Window.partitionBy("session_id").orderBy("s", "e")).cast("long"))
 
 
 def activity_violations(df: DataFrame) -> DataFrame:
