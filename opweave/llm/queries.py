@@ -14,6 +14,15 @@ from opweave.llm.subsequences import frequent_subsequences, step_name
 from opweave.llm.tokens import token_counts, token_ids
 from opweave.session import cut, table
 
+P2_SQL = r"""WITH once AS (SELECT DISTINCT session_id, start, activity_id, upper(regexp_replace(type, '^\s+|\s+$', '', 'g')) || '@' || coalesce(lower(regexp_replace(app, '^\s+|\s+$', '', 'g')), '-') AS step FROM activities WHERE session_id IS NOT NULL AND start IS NOT NULL AND activity_id IS NOT NULL),
+s AS (SELECT session_id, step, row_number() OVER (PARTITION BY session_id ORDER BY start, activity_id) AS pos FROM once), need AS (SELECT greatest(5, ceil(0.15 * count(DISTINCT session_id))) AS n FROM activities),
+common AS (SELECT step FROM s GROUP BY 1 HAVING count(DISTINCT session_id) >= (SELECT n FROM need)), f AS (SELECT s.* FROM s JOIN common USING (step)),
+p2 AS (SELECT DISTINCT a.session_id, a.step || ' > ' || b.step AS p, b.pos FROM f a JOIN f b ON a.session_id = b.session_id AND b.pos - a.pos BETWEEN 1 AND 3),
+p3 AS (SELECT DISTINCT a.session_id, a.p || ' > ' || b.step AS p, b.pos FROM p2 a JOIN f b ON a.session_id = b.session_id AND b.pos - a.pos BETWEEN 1 AND 3),
+p4 AS (SELECT DISTINCT a.session_id, a.p || ' > ' || b.step AS p FROM p3 a JOIN f b ON a.session_id = b.session_id AND b.pos - a.pos BETWEEN 1 AND 3),
+u AS (SELECT DISTINCT session_id, p, 3 AS k FROM p3 UNION ALL SELECT session_id, p, 4 FROM p4)
+SELECT p AS pattern, k::INTEGER AS n_steps, count(*)::INTEGER AS support FROM u GROUP BY 1, 2 HAVING count(*) >= (SELECT n FROM need)"""
+
 TEXT_FIELDS = ["window", "text", "screen_text"]
 
 
@@ -79,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_SQL}
