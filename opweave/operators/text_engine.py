@@ -19,11 +19,15 @@ COMBOS = {
     "ctrl+a": "SELECT_ALL", "ctrl+c": "COPY", "ctrl+x": "CUT", "ctrl+v": "PASTE", "ctrl+z": "UNDO", "ctrl+y": "REDO", "ctrl+shift+z": "REDO", "ctrl+backspace": "DELETE_WORD_BACK",
     "ctrl+left": "MOVE_WORD_LEFT", "ctrl+right": "MOVE_WORD_RIGHT",
 }
+# fixed values: recorder event types
 EVENT_OPS = {
-    "click": "CLICK", "double_click": "CLICK", "mouse_click": "CLICK", "browser_click": "CLICK", "app_switch": "APP_SWITCH", "navigation": "NAVIGATE", "browser_navigation": "NAVIGATE", "tab_switch": "NAVIGATE", "browser_tab_change": "NAVIGATE",
-    "scroll": "SCROLL", "browser_scroll": "SCROLL", "drag_drop": "DRAG", "dialog_open": "DIALOG_OPEN", "dialog_close": "DIALOG_CLOSE", "clipboard_change": "CLIPBOARD", "browser_form_input": "BROWSER_VALUE", "text_input_complete": "INPUT_COMPLETE",
-    "screenshot": "SCREEN", "screenshot_smart": "SCREEN", "window_title_change": "SCREEN", "window_state": "SCREEN", "system_event": "SYSTEM", "shortcut": "SHORTCUT_ROW",
+    "app_switch": "APP_SWITCH", "mouse_click": "CLICK", "mouse_double_click": "CLICK", "browser_click": "CLICK", "click": "CLICK", "mouse_scroll": "SCROLL", "mouse_drag_drop": "DRAG", "clipboard_change": "CLIPBOARD",
+    "text_input_complete": "INPUT_COMPLETE", "browser_form_input": "BROWSER_VALUE", "window_title_change": "SCREEN", "window_state_change": "SCREEN", "screenshot_smart": "SCREEN", "screenshot": "SCREEN",
+    "dialog_opened": "DIALOG_OPEN", "dialog_closed": "DIALOG_CLOSE", "browser_navigation": "NAVIGATE", "browser_tab_event": "NAVIGATE", "browser_alert": "OTHER_EVENT", "browser_error": "OTHER_EVENT",
+    "session_start": "SYSTEM", "session_end": "SYSTEM", "extension_connected": "SYSTEM", "extension_disconnected": "SYSTEM", "upload_started": "SYSTEM", "upload_completed": "SYSTEM", "upload_failed": "SYSTEM", "shortcut": "SHORTCUT_ROW",
 }
+# fixed values: sources whose extracted text is the value of a field
+FIELD_SOURCES = ("text_input", "browser_form_input", "accessibility", "field_value")
 TEXT_OPS = {"INSERT", "BACKSPACE", "DELETE", "DELETE_WORD_BACK", "SELECT_ALL", "COPY", "CUT", "PASTE", "UNDO", "REDO"} | {f"MOVE_{x}" for x in ("LEFT", "RIGHT", "UP", "DOWN", "HOME", "END", "WORD_LEFT", "WORD_RIGHT")}
 OPENING = {"INSERT", "BACKSPACE", "DELETE", "DELETE_WORD_BACK", "CUT", "PASTE"}
 CLIPBOARD_KEYS = ("content", "new_content", "text", "new_value", "value", "data")
@@ -294,6 +298,16 @@ def _screen_text(e: dict) -> str | None:
     return t if isinstance(t, str) and t else None
 
 
+def _field_text(e: dict) -> str | None:
+    """Extracted text that is a field's value: of a trusted source, or a compact one-line pattern."""
+    x = get(e, "context", "extracted_text")
+    t, source = get(x, "text"), get(x, "source")
+    if not isinstance(t, str) or not t:
+        return None
+    compact = source == "text_pattern" and len(t) <= 256 and "\n" not in t and "\r" not in t
+    return t if source in FIELD_SOURCES or compact else None
+
+
 def clipboard_content(e: dict) -> str | None:
     p = get(e, "payload") or {}
     for level in (p, get(p, "new"), get(p, "to"), get(p, "after")):
@@ -397,7 +411,7 @@ class Builder:
             if self.last_copy is None or now - self.last_copy > COPY_MS:
                 yield self._activity("COPY", e, e, op.ids, text=content)
         elif op.kind in ("BROWSER_VALUE", "INPUT_COMPLETE"):
-            v = next((x for k in ("value", "text", "final_value", "content") if isinstance(x := get(e, "payload", k), str)), None)
+            v = next((x for k in (("value",) if op.kind == "BROWSER_VALUE" else ("final_text", "value")) if isinstance(x := get(e, "payload", k), str)), None)
             if self.run and v is not None:
                 self.run["browser" if op.kind == "BROWSER_VALUE" else "complete"].append(v)
                 self.run["ids"] = self.run["ids"] + op.ids
@@ -409,6 +423,7 @@ class Builder:
             t = _screen_text(e)
             if t and self.run:
                 self.run["screen"].append(t)
+                self.run["targeted"] += [f for f in (_field_text(e),) if f]
                 self.run["ids"] = self.run["ids"] + op.ids
             elif t:
                 self._late_screen(e, now)
@@ -419,6 +434,7 @@ class Builder:
         if r and t and now - r["at"] <= OCR_MS and signature(e)[:2] == r["sig"][:2]:
             run, a = r["run"], r["activity"]
             run["screen"].append(t)
+            run["targeted"] += [f for f in (_field_text(e),) if f]
             a["screen_text"], a["verification_status"] = t, reconcile(a["text"], run["complete"], run["browser"], run["targeted"], run["screen"])
             a["source_event_ids"] = list(dict.fromkeys([*a["source_event_ids"], e["event_id"]]))
 

@@ -82,13 +82,19 @@ def test_evidence():
     base = keys("a@b.example")
     assert build([*base, ev(50, 50, "browser_form_input", payload={"value": "a@b.example"})], "s")[0]["verification_status"] == "VERIFIED_BROWSER"
     assert build([*base, ev(50, 50, "screenshot_smart", screen="Mail a@b.example ok")], "s")[0]["verification_status"] == "VERIFIED_SCREEN"
+    for text, status in (("a@b.example", "RECONCILED"), ("other", "CONFLICT")):
+        assert build([*base, ev(50, 50, "screenshot_smart", screen={"text": text, "source": "field_value"})], "s")[0]["verification_status"] == status
+    assert build([*base, ev(50, 50, "screenshot_smart", screen={"text": "a page\na@b.example", "source": "text_pattern"})], "s")[0]["verification_status"] == "VERIFIED_SCREEN"
+    late = build([*base, ev(49, 49, key="Enter"), ev(900, 900, "screenshot_smart", screen="see a@b.example")], "s")
+    assert late[0]["verification_status"] == "VERIFIED_SCREEN" and late[0]["screen_text"] == "see a@b.example"
+    assert build([*base, ev(49, 49, key="Enter"), ev(9000, 9000, "screenshot_smart", screen="see a@b.example")], "s")[0]["verification_status"] == "RECONSTRUCTED"
     assert reconcile("x", ["y"], [], [], []) == "CONFLICT"
     assert reconcile("x", ["x"], ["x"], [], []) == "RECONCILED"
     assert reconcile("x", [], [], [], []) == "RECONSTRUCTED"
 
 
 def test_open_dialog_ends_where_it_starts():
-    got = build([ev(0, 0, "dialog_open"), *keys("a", 50)], "s")
+    got = build([ev(0, 0, "dialog_opened"), *keys("a", 50)], "s")
     d = next(a for a in got if a["type"] == "DIALOG")
     assert d["start"] == d["end"]
 
@@ -128,6 +134,6 @@ def test_declarative_echoes(spark):
 
 
 def test_listed_keystrokes_swallow_their_echo():
-    e = [ev(0, 0, key="a", char="a"), ev(1, 4, key="a", char="a"), ev(2, 30, key="b", char="b"), ev(3, 500, "text_input_complete", payload={"related_keystrokes": ["e0", "e2"], "value": "ab"})]
+    e = [ev(0, 0, key="a", char="a"), ev(1, 4, key="a", char="a"), ev(2, 30, key="b", char="b"), ev(3, 500, "text_input_complete", payload={"related_keystrokes": ["e0", "e2"], "final_text": "ab"})]
     got = build(e, "s")
     assert [a["text"] for a in got] == ["ab"] and got[0]["verification_status"] == "VERIFIED_INPUT_COMPLETE"
