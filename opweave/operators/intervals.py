@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opweave.plans.groups import map_groups
 from opweave.plans.sequence import island_ids, sequence
+from opweave.session import cut
 
 SMALL_MS, LARGE_MS = 600_000, 86_400_000
 
@@ -160,6 +161,7 @@ def merge_short_runs(runs: DataFrame, min_s: float) -> DataFrame:
     y, w = sequence(x, "entity", "time", "run_no", back=1, ahead=1)
     y = y.withColumn("before_long", F.lag("long").over(w)).withColumn("after_long", F.lead("long").over(w)).withColumn("p_right", F.lead("p_left").over(w)).filter("own")
     y = island_ids(y, "entity", F.col("long") | F.coalesce(F.col("before_long"), F.lit(True)), "island")
+    y = cut(y)  # read three times
     short = y.filter("not long")
     ends = short.groupBy(F.col("entity").alias("e"), F.col("island").alias("i")).agg(F.max_by("after_long", "pos").alias("after"), F.min_by("before_long", "pos").alias("before"))
     short = short.join(ends, (F.col("entity") == F.col("e")) & (F.col("island") == F.col("i")))
