@@ -78,13 +78,32 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def silhouette(u: DataFrame, key: str, label: str) -> DataFrame:
+def silhouette(u: DataFrame, key: str, label: str, block: int = 1024) -> DataFrame:
     """(key, silhouette) by cosine distance, from class sums alone: the mean distance to a class is
-    1 - u . sum / n, so no pair of rows is ever formed.  A class of one has silhouette 0."""
-    s = class_sums(u, label).select(F.col(label).alias("cl"), F.col("n").alias("cn"), F.col("total").alias("ct"))
-    x = u.crossJoin(F.broadcast(s))  # rows x classes
-    d = F.when(F.col(label) == F.col("cl"), F.when(F.col("cn") > 1, 1 - (dot("u", "ct") - 1) / (F.col("cn") - 1))).otherwise(1 - dot("u", "ct") / F.col("cn"))
-    x = x.withColumn("d", d).groupBy(key, label).agg(F.max(F.when(F.col(label) == F.col("cl"), F.col("d"))).alias("a"), F.min(F.when(F.col(label) != F.col("cl"), F.col("d"))).alias("b"))
+    1 - u . sum / n, so no pair of rows is ever formed.  A class of one has silhouette 0.
+
+    Rows and classes meet in packed blocks as one matrix product; neither side is broadcast."""
+    s = class_sums(u, label)
+    kind = u.schema[key].dataType.simpleString()
+    pack = lambda x, p, cols: x.groupBy(F.pmod(F.xxhash64(cols[0]), F.lit(_blocks(x, block))).alias(f"{p}b")).agg(F.collect_list(F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(cols)])).alias(p))
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for rows, classes in zip(b["r"], b["c"]):
+                m, t = np.array([x["f2"] for x in rows], float), np.array([x["f2"] for x in classes], float)
+                n = np.array([x["f1"] for x in classes], float)
+                dots = m @ t.T
+                own = np.array([x["f1"] for x in rows], object)[:, None] == np.array([x["f0"] for x in classes], object)[None, :]
+                d = 1 - dots / n
+                inner = np.where(n > 1, 1 - (dots - 1) / np.maximum(n - 1, 1), np.nan)
+                mine = np.where(own, inner, np.nan)
+                a = np.where(own.any(1), np.nanmax(np.where(np.isnan(mine), -np.inf, mine), axis=1), np.nan)
+                other = np.where(own, np.inf, d).min(1)
+                yield pd.DataFrame({"k": [x["f0"] for x in rows], "a": np.where(np.isinf(a), np.nan, a), "b": np.where(np.isinf(other), np.nan, other)})
+
+    pairs = pack(u, "r", [key, label, "u"]).crossJoin(pack(s, "c", [label, "n", "total"])).select("r", "c")  # blocks of rows against blocks of classes
+    got = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism).mapInPandas(distances, f"k {kind}, a double, b double")
+    x = got.groupBy(F.col("k").alias(key)).agg(F.max(F.nullif("a", F.lit(float("nan")))).alias("a"), F.min(F.nullif("b", F.lit(float("nan")))).alias("b"))
     return x.select(key, F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
 
 

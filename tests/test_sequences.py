@@ -96,3 +96,18 @@ def test_session_set(spark):
     df = frame(spark, rows(50))
     assert ngrams(df.limit(0), "e", "t", "k", "v", 2).count() == 0
     assert df.select(F.count("*")).first()[0] == 50
+
+
+def test_silhouette_against_pairs(spark):
+    r = np.random.RandomState(1)
+    vec = r.randn(25, 4)
+    lab = [0] * 9 + [1] * 9 + [2] * 6 + [3]
+    df = spark.createDataFrame([(i, lab[i], [float(v) for v in x]) for i, x in enumerate(vec)], "id long, label int, v array<double>")
+    got = {x.id: x.silhouette for x in V.silhouette(V.unit_vectors(df, "id", "v", "label"), "id", "label", block=3).collect()}
+    u = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    for i in range(25):
+        mean = {c: np.mean([d[i, j] for j in range(25) if j != i and lab[j] == c] or [np.nan]) for c in set(lab)}
+        a, b = mean[lab[i]], min(v for c, v in mean.items() if c != lab[i])
+        want = 0 if lab[i] == 3 else (b - a) / max(a, b)
+        assert abs(got[i] - want) < 1e-9
