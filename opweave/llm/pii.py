@@ -117,7 +117,7 @@ class Finder:
         self.person = re.compile(
             rf"{edge}(?:{t}\.? )?(?:(?:{g})(?: [a-z]\.)? (?:{f})|(?:{f}), (?:{g})(?! (?:[a-z]\. )?(?:{f}))(?: [a-z]\.)?|[a-z]\. (?:[a-z]\. )?(?:{f})|{t}\.? (?:{f}))(?![\w@]|[.+-]\w*@|-[a-z])"
         )
-        self.titled = re.compile(rf"(?<![\w@.+-])(?:Mrs|Mr|Ms|Dr|Prof|Mme|Herr|Frau|Sra|Sr)\.? (?:[A-ZÀ-Þ]\. )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][\w'’-]+)?(?![\w@])") if not family else None
+        self.titled = re.compile(r"(?<![\w@.+-])(?:Mrs|Mr|Ms|Dr|Prof|Mme|Herr|Frau|Sra|Sr)\.? (?:[A-ZÀ-Þ]\. )?[A-ZÀ-Þ][\w'’-]+(?: [A-ZÀ-Þ][a-zß-ÿ][\w'’-]*(?= (?:[a-zß-ÿ<]|at )|[,;)]))?(?![\w@])")
         self.local = re.compile(rf"(?:{alt(lf)}) ?(?:{alt(lg)})(?: ?(?:{HONORIFICS}))?|(?:{alt(lf)}) ?(?:{HONORIFICS})")
         auto = ahocorasick.Automaton()
         add = lambda words, kind: [auto.add_word(w, (kind, w)) for w in words if w not in auto]
@@ -127,6 +127,7 @@ class Finder:
         add((f" {s}" for s in STREETS.lower().split("|")), "address")
         add((*(fold(s).replace("\\", "") for s in DE_STREETS.split("|")), "am ", "an der ", "im ", "zum ", "zur ", "unter den ", "auf dem "), "address")
         add((*(f"{fold(s)} " for s in FR_STREETS.split("|")), "box ", "丁目", "番", "都", "道", "府", "県"), "address")
+        add((f"{t}{dot} " for t in TITLES.lower().split("|") if len(t) > 1 for dot in ("", ".")), "title")
         add(family, "name")
         add(lf, "local")
         auto.make_automaton()
@@ -171,9 +172,10 @@ class Finder:
             for m in self.person.finditer(low, lo, hi):
                 if not COMPANY.match(t, m.end()) and not BEFORE_NAME.search(t, max(0, m.start() - 12), m.start()) and _cased(t[m.start() : m.end()]):
                     put(*m.span(), "person_name")
-        if self.titled:
-            for m in self.titled.finditer(t):
-                put(*m.span(), "person_name")
+        for lo, hi in _windows(seen.get("title", ()), len(t)):  # a title names a person that no table knows
+            for m in self.titled.finditer(t, lo, hi):
+                if not COMPANY.match(t, m.end()):
+                    put(*m.span(), "person_name")
         for lo, hi in _windows(seen.get("local", ()), len(t)):
             for m in self.local.finditer(t, lo, hi):
                 put(*m.span(), "person_name")

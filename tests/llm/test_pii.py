@@ -26,6 +26,7 @@ F = Finder(STAFF)
         ("Dear Dr. DUNSKAYA, Solvi Dunskaya and Nakasone-Rill, Petra-Lou; S. Uliveri", "Dear [PERSON_NAME], [PERSON_NAME] and [PERSON_NAME]; [PERSON_NAME]"),
         ("Project Uliveri: Uliveri & Sons, Uliveri GmbH, Petra release, EMP-0012", "Project Uliveri: Uliveri & Sons, Uliveri GmbH, Petra release, EMP-0012"),
         ("榎森部長と榎森琴葉様、担当者様", "[PERSON_NAME]と[PERSON_NAME]、担当者様"),
+        ("Dear Dr. Kowalski, Mrs Ann Baker approved; Herr/Frau auswählen; Mr. Kovar GmbH", "Dear [PERSON_NAME], [PERSON_NAME] approved; Herr/Frau auswählen; Mr. Kovar GmbH"),
         ("petra-lou.nakasone-rill@x.example", "[EMAIL]"),
         ("a​b@x.exаmple ​!", "[EMAIL] ​!"),
     ],
