@@ -1,8 +1,11 @@
 """Session helpers: tables, shared checkpoint folder, time columns."""
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -52,3 +55,22 @@ def micros(c: Column | str) -> Column:
 def seconds(c: Column | str) -> Column:
     """Epoch seconds as DOUBLE."""
     return micros(c) / F.lit(1e6)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python workers, once an application (they may not share the driver's path)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    staged = Path(tempfile.mkdtemp(prefix="opweave-")) / "opweave.zip"  # the driver's file server hands it out
+    staged.write_bytes(held.getvalue())
+    sc.addPyFile(str(staged))
+    _SHIPPED.add(sc.applicationId)
