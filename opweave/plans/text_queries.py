@@ -63,6 +63,12 @@ def collapse_text(spark, d):
     return _docs(spark, d).filter(t.rlike(r"\A[ -~\n\r\t]*\z")).select("doc_id", F.md5(T.collapse(t)).alias("h"))
 
 
+@query("collapse_documents")
+def collapse_documents(spark, d):
+    """All documents of any script; DuckDB has no Unicode white space, so the SQL of collapse_text holds only printable ASCII."""
+    return _docs(spark, d).select("doc_id", F.md5(T.collapse(F.col("text"))).alias("h"))
+
+
 @query("nfkc_casefold")
 def nfkc_casefold(spark, d):
     return acts(spark, d).select("activity_id", T.nfkc_casefold(F.col("window")).alias("folded"))
