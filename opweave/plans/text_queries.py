@@ -138,11 +138,12 @@ def events_display(spark, d):
 @query("timeline", f"""WITH {ACTS}, m AS (SELECT session_id, min(start_us) AS t0 FROM acts GROUP BY 1), x AS (SELECT *, (start_us - t0) // 1000000 AS s FROM acts JOIN m USING (session_id))
 SELECT activity_id, s::BIGINT AS rel_s, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS elapsed FROM x WHERE s < 360000""")
 def timeline(spark, d):
-    """Relative seconds and elapsed text of each activity in its session."""
+    """Relative seconds and elapsed text (hours of at least two digits) of each activity in its session; the SQL ends after 100 hours."""
     a = acts(spark, d).select("session_id", "activity_id", "start_us")
     t0 = a.groupBy(F.col("session_id").alias("ts")).agg(F.min("start_us").alias("t0"))
     s = F.floor((F.col("start_us") - F.col("t0")) / 1_000_000).cast("long")
     two = lambda x: F.lpad(x.cast("long").cast("string"), 2, "0")
-    x = a.join(t0, F.col("session_id") == F.col("ts")).withColumn("rel_s", s).filter("rel_s < 360000")
+    x = a.join(t0, F.col("session_id") == F.col("ts")).withColumn("rel_s", s).filter("rel_s is not null")
     c = F.col("rel_s")
-    return x.select("activity_id", "rel_s", F.concat(two(F.floor(c / 3600)), F.lit(":"), two(F.floor(c % 3600 / 60)), F.lit(":"), two(c % 60)).alias("elapsed"))
+    hours = F.floor(c / 3600).cast("long").cast("string")
+    return x.select("activity_id", "rel_s", F.concat(F.when(F.length(hours) >= 2, hours).otherwise(F.lpad(hours, 2, "0")), F.lit(":"), two(F.floor(c % 3600 / 60)), F.lit(":"), two(c % 60)).alias("elapsed"))

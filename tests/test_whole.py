@@ -2,6 +2,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 
 # fixed values: Unicode White_Space
@@ -13,3 +15,20 @@ def test_collapse_takes_every_script(spark, tmp_path):
     spark.createDataFrame([(f"d{i}", t) for i, t in enumerate(texts)], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {f"d{i}": t if t is None else hashlib.md5(re.sub(SPACES, " ", t.lower()).strip(" ").encode()).hexdigest() for i, t in enumerate(texts)}
     assert {r.doc_id: r.h for r in entry.queries()["collapse_documents"](spark, str(tmp_path)).collect()} == want
+
+
+def _acts(spark, tmp_path, rows, cols):
+    """activities with every column the driver queries read; times in seconds."""
+    text = [c for c in cols.split() if c not in ("start", "end")]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'double' if c in ('start', 'end') else 'string'}" for c in cols.split()))
+    df = df.withColumn("start", F.timestamp_seconds("start")).withColumn("end", F.timestamp_seconds("end"))
+    for c in ("type", "app", "window", "target_field", "text", "screen_text"):
+        if c not in text:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    df.write.parquet(f"{tmp_path}/activities.parquet")
+
+
+def test_timeline_keeps_what_comes_after_100_hours(spark, tmp_path):
+    _acts(spark, tmp_path, [("a", "s", 0.0, 1.0), ("b", "s", 359_999.0, 360_000.0), ("c", "s", 360_000.0, 360_001.0), ("d", "s", 4_000_000.5, 4_000_001.0)], "activity_id session_id start end")
+    got = {r.activity_id: (r.rel_s, r.elapsed) for r in entry.queries()["timeline"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (0, "00:00:00"), "b": (359_999, "99:59:59"), "c": (360_000, "100:00:00"), "d": (4_000_000, "1111:06:40")}
