@@ -1,6 +1,7 @@
 """Column functions on text: built-in expressions only, unless said otherwise."""
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -19,6 +20,33 @@ def nfkc_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).casefold())
 
 
+# fixed values: dynamic values that a semantic document does not tell apart
+SEMANTIC = [
+    re.compile(p, f)
+    for p, f in (
+        (r"https?://\S+", re.I),
+        (r"\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b", re.I),
+        (r"\b\d{4}[-/]\d{1,2}[-/]\d{1,2}\b", 0),
+        (r"\b\d{1,2}:\d{2}(?::\d{2})?\b", 0),
+        (r"\b\d{6,}\b", 0),
+        (r"\b[A-Z]{1,8}[-_][A-Z0-9]{2,}[-_][A-Z0-9]{2,}\b", 0),
+    )
+]
+
+
+def _semantic(t: str | None) -> str:
+    t = (t or "").replace("\x07", " ").casefold()
+    for p in SEMANTIC:
+        t = p.sub(" <DYN> ", t)
+    return " ".join(t.split())
+
+
+@F.pandas_udf(StringType())
+def semantic_text(s: pd.Series) -> pd.Series:
+    """Full case folding, dynamic values masked, white space collapsed (Arrow batches; Java's word bounds and digits differ); null as empty."""
+    return s.map(_semantic)
+
+
 def slug(c: Column) -> Column:
     """Header slug: lower case, other than a-z 0-9 to one underscore, none outside."""
     return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -4,6 +4,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from opweave.functions import text as T
 from opweave.operators import sequences as S, vectors as V
 from opweave.plans.catalogue import query
 from opweave.plans.interval_queries import SEGS, _J
@@ -47,6 +48,26 @@ def semantic_documents(spark, d):
     return g.select("session_id", "seg", F.md5(F.concat(F.array_join("x.t", " "), F.lit(" DUR:"), dur)).alias("doc"))
 
 
+@query("segment_documents")
+def segment_documents(spark, d):
+    """Semantic document of a segment: window four times, target three times, text twice, clipped screen text once, the pairs of consecutive types, duration class."""
+    from opweave.operators.intervals import own
+    from opweave.plans.interval_queries import act_seg
+
+    o = own(act_seg(spark, d), "activity_id", "seg", "previous").select(F.col("activity_id").alias("oid"), "seg")
+    # the long texts join the owners last: they pass two shuffles, not those of the overlap join
+    a = acts(spark, d).select("session_id", "activity_id", "start_us", F.coalesce("end_us", "start_us").alias("end_us"), F.coalesce(F.nullif("type", F.lit("")), F.lit("UNKNOWN")).alias("type"), "window", "target_field", "text", "screen_text")
+    o = a.join(o, F.col("activity_id") == F.col("oid")).withColumns({c: T.semantic_text(F.col(c)) for c in ("window", "target_field", "text", "screen_text")}).withColumn("screen_text", T.clip(F.col("screen_text")))
+    part = lambda tag, c, n: F.when(c != "", F.array_repeat(F.concat(F.lit(tag + "::"), c), n)).otherwise(F.array().cast("array<string>"))
+    g = o.groupBy("session_id", "seg").agg(F.array_sort(F.collect_list(F.struct("start_us", "end_us", "activity_id", "type", "window", "target_field", "text", "screen_text"))).alias("x"))
+    parts = F.transform("x", lambda a: F.concat(part("WIN", a["window"], 4), part("TARGET", a["target_field"], 3), part("TEXT", a["text"], 2), part("SCREEN", a["screen_text"], 1)))
+    types = F.col("x.type")
+    pairs = F.transform(F.slice(types, 2, F.size("x")), lambda t, i: F.concat(F.lit("ACTIONPAIR::"), types[i], F.lit(">"), t))
+    s = (F.element_at("x", -1)["end_us"] - F.col("x")[0]["start_us"]) / 1e6
+    dur = F.when(s < 15, "DUR::SHORT").when(s < 45, "DUR::MEDIUM").otherwise("DUR::LONG")
+    return g.select("session_id", "seg", F.md5(F.array_join(F.concat(F.flatten(parts), pairs, F.array(dur)), " ")).alias("doc"))
+
+
 _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 
 

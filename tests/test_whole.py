@@ -32,3 +32,20 @@ def test_timeline_keeps_what_comes_after_100_hours(spark, tmp_path):
     _acts(spark, tmp_path, [("a", "s", 0.0, 1.0), ("b", "s", 359_999.0, 360_000.0), ("c", "s", 360_000.0, 360_001.0), ("d", "s", 4_000_000.5, 4_000_001.0)], "activity_id session_id start end")
     got = {r.activity_id: (r.rel_s, r.elapsed) for r in entry.queries()["timeline"](spark, str(tmp_path)).collect()}
     assert got == {"a": (0, "00:00:00"), "b": (359_999, "99:59:59"), "c": (360_000, "100:00:00"), "d": (4_000_000, "1111:06:40")}
+
+
+def test_segment_documents_hold_every_channel(spark, tmp_path):
+    rows = [
+        ("a", "s", 1.0, 2.0, "CLICK", "Win  A", "F1", "Straße 123456", "x" * 1699 + " " + "y" * 400),
+        ("b", "s", 3.0, 4.0, "TEXT_ENTRY", None, "", "see https://x.y/z", None),
+        ("c", "s", 101.0, 102.0, "CLICK", "Win A", None, "one", None),
+        ("d", "s", 201.0, 202.0, "CLICK", "Win A", None, "two", None),
+    ]
+    _acts(spark, tmp_path, rows, "activity_id session_id start end type window target_field text screen_text")
+    at = lambda m, s: f"1970-01-01T00:{m:02d}:{s:02d}.000Z"
+    spark.createDataFrame([("s", at(0, 0), at(0, 50), "A"), ("s", at(1, 40), at(1, 50), "B"), ("s", at(3, 20), at(3, 30), "B")], "session_id string, start string, end string, label string").write.parquet(f"{tmp_path}/segments.parquet")
+    screen = "x" * 1699 + "  " + "y" * 300
+    first = ["WIN::win a"] * 4 + ["TARGET::f1"] * 3 + ["TEXT::strasse <DYN>"] * 2 + [f"SCREEN::{screen}"] + ["TEXT::see <DYN>"] * 2 + ["ACTIONPAIR::CLICK>TEXT_ENTRY", "DUR::SHORT"]
+    docs = [" ".join(first), *(" ".join(["WIN::win a"] * 4 + [f"TEXT::{t}"] * 2 + ["DUR::SHORT"]) for t in ("one", "two"))]
+    got = {r.seg: r.doc for r in entry.queries()["segment_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i + 1: hashlib.md5(x.encode()).hexdigest() for i, x in enumerate(docs)}
