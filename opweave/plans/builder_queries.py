@@ -27,6 +27,25 @@ def activity_rebuild(spark, d):
     return build_activities(e).select(F.col("target_field").alias("activity_id"), "text")
 
 
+@query("activity_rebuild_all", f"""WITH {ACTS} SELECT activity_id, text FROM acts WHERE type = 'TEXT_ENTRY' AND text <> ''""")
+def activity_rebuild_all(spark, d):
+    """Round trip of every text entry: printable characters are typed, all others (line breaks, tabs, wide blanks, format characters) put on the clipboard and pasted."""
+    a = acts(spark, d).filter((F.col("type") == "TEXT_ENTRY") & (F.col("text") != ""))
+    a = with_positions(a.select("session_id", "start", "activity_id", "text"), "session_id", "start", "activity_id")
+    k = a.select("session_id", "activity_id", "pos", F.posexplode(F.split("text", "")).alias("i", "c")).withColumn("pasted", F.col("c").rlike(r"\A[\p{C}\p{Z}&&[^ ]]\z"))
+    event = lambda kind, at, **p: F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), F.to_json(F.struct(*[v.alias(n) for n, v in p.items()], F.col("activity_id").alias("target_field"))).alias("payload"))
+    typed = event("keystroke", 0, key=F.col("c"), character=F.col("c"))
+    paste = event("keystroke", 20, key=F.lit("v"), modifiers=F.array(F.lit("ctrl")))
+    k = k.select("session_id", "activity_id", "pos", "i", F.explode(F.when(F.col("pasted"), F.array(event("clipboard_change", 0, content=F.col("c")), paste)).otherwise(F.array(typed))).alias("e"))
+    # 100 ms a character: beyond the reach of an echo
+    ms = F.col("pos") * 10_000_000 + F.col("i") * 100 + F.col("e.at")
+    e = k.select(
+        F.concat_ws(":", "activity_id", "i", "e.at").alias("event_id"), "session_id", ms.cast("long").alias("timestamp_ms"), F.lpad(ms.cast("string"), 16, "0").alias("timestamp_iso"), F.col("e.kind").alias("event_type"),
+        F.col("e.payload").alias("payload"), F.lit("{}").alias("context"), F.lit("{}").alias("correlation"),
+    )
+    return build_activities(e).filter("type = 'TEXT_ENTRY'").select(F.col("target_field").alias("activity_id"), "text")
+
+
 _MAP = {"view": "NAVIGATE", "click": "CLICK"}
 
 

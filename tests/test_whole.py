@@ -34,6 +34,13 @@ def test_timeline_keeps_what_comes_after_100_hours(spark, tmp_path):
     assert got == {"a": (0, "00:00:00"), "b": (359_999, "99:59:59"), "c": (360_000, "100:00:00"), "d": (4_000_000, "1111:06:40")}
 
 
+def test_rebuild_types_every_text(spark, tmp_path):
+    texts = ["plain", " outer ", "Größe", "経費 精算", "a\nb\r\nc", "\ttab\u3000wide\xa0", "vv\nvv", "😀\u200dx", "\n", "ไทยมี"]
+    _acts(spark, tmp_path, [(f"a{i}", "s", float(i), i + 1.0, "TEXT_ENTRY", t) for i, t in enumerate([*texts, "", None])], "activity_id session_id start end type text")
+    got = sorted((r.activity_id, r.text) for r in entry.queries()["activity_rebuild_all"](spark, str(tmp_path)).collect())
+    assert got == sorted((f"a{i}", t) for i, t in enumerate(texts))
+
+
 def test_segment_documents_hold_every_channel(spark, tmp_path):
     rows = [
         ("a", "s", 1.0, 2.0, "CLICK", "Win  A", "F1", "Straße 123456", "x" * 1699 + " " + "y" * 400),
