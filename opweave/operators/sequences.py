@@ -13,7 +13,7 @@ def gap_sessions(df: DataFrame, entity: str, time: str, key: str, gap_s: float)
     x, w = sequence(df.select(entity, time, key, micros(time).alias("us")), entity, time, key)
     x = x.withColumn("prev", F.lag("us").over(w)).filter("own")
     new = F.col("prev").isNull() | (F.col("us") - F.col("prev") > gap_s * 1e6)
-    x = island_ids(x.select(entity, "pos", "us", "prev"), entity, new, "session_no")
+    x = island_ids(x.select(entity, "pos", "us", "prev", "chunk"), entity, new, "session_no")
     return x.groupBy(entity, "session_no").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"))
 
 

@@ -12,6 +12,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opweave.session import micros
 
 
+def group_totals(df: DataFrame, keys: list[str], **totals: Column) -> DataFrame:
+    """Totals by ``keys`` of rows that are also used themselves, read from the same exchange.
+
+    The optimizer would narrow this branch to its own columns, and then the input would be
+    computed once for the rows and once more for the totals.  A first row kept whole makes
+    both branches equal, so that one exchange serves both."""
+    whole = F.first(F.struct(*df.columns)).alias("__whole")
+    t = df.groupBy(*keys).agg(*[c.alias(n) for n, c in totals.items()], whole)
+    return t.filter(F.col("__whole").isNotNull() | F.col(next(iter(totals))).isNotNull()).drop("__whole")
+
+
 def with_positions(df: DataFrame, entity: str, time: str, key: str, bucket_s: int = 900, out: str = "pos") -> DataFrame:
     """Adds ``out`` = 0, 1, 2 ... per ``entity`` by (``time``, ``key``); each ``key`` once.
 
@@ -20,7 +31,7 @@ def with_positions(df: DataFrame, entity: str, time: str, key: str, bucket_s: in
     An empty table gives an empty table."""
     df = df.filter(F.col(entity).isNotNull() & F.col(time).isNotNull() & F.col(key).isNotNull())
     bucket: Column = F.floor(micros(time) / F.lit(bucket_s * 1_000_000)).cast("long")
-    df = df.withColumn("__b", bucket)
+    df = df.withColumn("__b", bucket).filter("__b is not null")  # said here, or the join would infer it on one side only and no exchange were shared
     w = Window.partitionBy(entity, "__b").orderBy(time, key)
     ranked = (
         df.withColumn("__same", (F.lag(key).over(w) == F.col(key)) & (F.lag(time).over(w) == F.col(time)))
@@ -28,7 +39,7 @@ def with_positions(df: DataFrame, entity: str, time: str, key: str, bucket_s: in
         .drop("__same")
         .withColumn("__rn", F.row_number().over(w))
     )
-    counts = df.groupBy(entity, "__b").agg(F.count_distinct(F.struct(time, key)).alias("__n"))
+    counts = group_totals(ranked, [entity, "__b"], __n=F.max("__rn"))
     before = Window.partitionBy(entity).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
         F.col(entity).alias("__e"), F.col("__b").alias("__ob"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off")

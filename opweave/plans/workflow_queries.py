@@ -145,14 +145,12 @@ def contingency(spark, d) -> DataFrame:
 
 
 def pair_counts(ct: DataFrame, by: list[str]) -> DataFrame:
-    """tp, pred_pairs, gt_pairs per ``by`` from a contingency table, never materialising pairs."""
-    c2 = lambda c: (c * (c - 1) / 2).cast("long")
-    tp = ct.groupBy(*by).agg(F.sum(c2(F.col("n"))).alias("tp"))
-    side = lambda k, name: ct.groupBy("session_id", k).agg(F.sum("n").alias("m")).groupBy(*by).agg(F.sum(c2(F.col("m"))).alias(name))
-    if by:
-        return tp.join(side("p", "pred_pairs"), by).join(side("g", "gt_pairs"), by)
-    k = F.lit(1)
-    return tp.withColumn("k", k).join(side("p", "pred_pairs").withColumn("k", k), "k").join(side("g", "gt_pairs").withColumn("k", k), "k").drop("k")
+    """tp, pred_pairs, gt_pairs per ``by`` from a contingency table read once, never materialising pairs."""
+    none = F.lit(None).cast("long")
+    sets = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("p"), g.alias("g")) for k, p, g in (("tp", F.col("p"), F.col("g")), ("pred_pairs", F.col("p"), none), ("gt_pairs", none, F.col("g")))])
+    m = ct.select("session_id", "n", F.explode(sets).alias("s")).groupBy("session_id", "s.kind", "s.p", "s.g").agg(F.sum("n").alias("m"))
+    c2 = (F.col("m") * (F.col("m") - 1) / 2).cast("long")
+    return m.groupBy(*by).agg(*[F.sum(F.when(F.col("kind") == k, c2)).alias(k) for k in ("tp", "pred_pairs", "gt_pairs")])
 
 
 _PC = """pc AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM ct) AS tp, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM ct GROUP BY session_id, p)) AS pp, (SELECT sum(m * (m - 1) / 2) FROM (SELECT sum(n) AS m FROM ct GROUP BY session_id, g)) AS gp, (SELECT sum(n) FROM ct) AS total)"""
