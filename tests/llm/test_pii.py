@@ -57,3 +57,39 @@ def test_spark(spark):
     assert find_personal(df.limit(0), staff, LookalikeModel(), "activity_id", ["text"]).count() == 0
     with pytest.raises(ValueError):
         find_personal(df, staff, LookalikeModel(), "activity_id", ["text"], max_staff=0)
+
+
+def _safe(finder, text):
+    return redact(text, finder.find(text))
+
+
+def test_no_window_ends_an_address():
+    f = Finder([("Anna", "Smith", "山田 太郎"), ("Jean Luc", "Picard", None)])
+    for c in (30, 38, 46, 400, 40_000):
+        assert _safe(f, f"to {'a' * 30}@{'b' * 60}.{'c' * c}.example.com end") == "to [EMAIL] end"
+    assert _safe(f, "l" * 300 + "@example.com") == "[EMAIL]"
+    assert _safe(f, "see " + ("word " * 2_000_000) + "x@example.com") == "see " + ("word " * 2_000_000) + "[EMAIL]"
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("Calle Mayor 12, 28013 Madrid", "[ADDRESS]"),
+        ("地址：北京市朝阳区建国路88号", "地址：[ADDRESS]"),
+        ("call 5551234567", "call [PHONE]"),
+        ("联系我 13812345678 谢谢", "联系我 [PHONE] 谢谢"),
+        ("order 13812345678 谢谢", "order 13812345678 谢谢"),
+        ("call 2024-07-17 x", "call 2024-07-17 x"),
+        ("user at example dot com", "[EMAIL]"),
+        ("john.doe at mail dot example dot com now", "[EMAIL] now"),
+        ("メールはtaro@example.comまで", "メールは[EMAIL]まで"),
+        ("müller@bücher.de!", "[EMAIL]!"),
+        ("a@b and @ and x@", "a@b and @ and x@"),
+        ("x@a.b.c.d.e.org.", "[EMAIL]."),
+        ("see Jean Luc Picard", "see [PERSON_NAME]"),
+        ("Dr. A. Smith and Smith, Anna", "[PERSON_NAME] and [PERSON_NAME]"),
+        ("山田太郎さんと山田様", "[PERSON_NAME]と[PERSON_NAME]"),
+    ],
+)
+def test_kinds_beyond_one_country(text, want):
+    assert _safe(Finder([("Anna", "Smith", "山田 太郎"), ("Jean Luc", "Picard", None)]), text) == want
