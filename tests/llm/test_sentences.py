@@ -40,3 +40,36 @@ def test_learns_abbreviations(spark):
     assert len(got) == 5
     assert sentence_units(df.limit(0), "doc_id", "text", "lang", m).count() == 0
     assert learn_sentences(df.limit(0), "text", "lang").abbreviations == {}
+
+
+@pytest.mark.parametrize(
+    "text,units",
+    [
+        ("ខ្ញុំទៅផ្សារ។គាត់ទៅសាលា។", ["ខ្ញុំទៅផ្សារ។", "គាត់ទៅសាលា។"]),
+        ("Նա եկավ։ Մենք գնացինք։", ["Նա եկավ։", "Մենք գնացինք։"]),
+        ("ကျွန်တော်သွားသည်။သူလာသည်။", ["ကျွန်တော်သွားသည်။", "သူလာသည်။"]),
+        ("እኔ ሄድኩ። እሱ መጣ፧ አዎ።", ["እኔ ሄድኩ።", "እሱ መጣ፧", "አዎ።"]),
+        ("Он пришёл. Мы ушли! Да?", ["Он пришёл.", "Мы ушли!", "Да?"]),
+        ("میں آیا۔ وہ گیا؟ ہاں۔", ["میں آیا۔", "وہ گیا؟", "ہاں۔"]),
+        ("그는 왔다. 우리는 갔다.", ["그는 왔다.", "우리는 갔다."]),
+        ("x" * 3_000_000 + ". Next one. " + "A.b" * 1_000_000, ["x" * 3_000_000 + ".", "Next one.", "A.b" * 1_000_000]),
+    ],
+)
+def test_scripts(text, units):
+    assert [text[a:b] for a, b in sentence_spans(text, "", MODEL)] == units
+
+
+def test_each_language_learns_its_own(spark):
+    parts = {  # with an abbreviation, and sentences whose last words differ
+        "it": (["Il dott. Rossi è arrivato alle {} ore.", "Anche il sig. Verdi ha visto il {} libro."], "Non ha detto {}! Questo è il {} della sala.", ["dott", "sig"]),
+        "pt": (["O sr. Silva não viu o {} livro.", "Ele falou com a dra. Costa pela {} vez."], "Também não {}! Isso foi pelo {} motivo.", ["sr", "dra"]),
+        "ru": (["Это г. Москва на {} карте.", "Мы видели стр. Пять в {} книге."], "Никто не {}! Она ушла {} домой.", ["г", "стр"]),
+    }
+    words = [a + b for a in "abcdefgh" for b in "klmnoprs"]
+    docs = [(lg, " ".join([two[i % 2].format(w), rest.format(w, w), f"{w}."]).replace("{}", w)) for lg, (two, rest, _) in parts.items() for i, w in enumerate(words)]
+    df = spark.createDataFrame([(i, t, lg) for i, (lg, t) in enumerate(docs)], "doc_id long, text string, lang string")
+    m = learn_sentences(df, "text", "lang")
+    for lg, (two, rest, abbr) in parts.items():
+        assert set(abbr) <= m.abbreviations[lg], lg
+        text = two[0].format("x") + " " + two[1].format("y")
+        assert not any(text[a:b].endswith(f" {w}.") for a, b in sentence_spans(text, "", m) for w in abbr), lg
