@@ -89,7 +89,6 @@ FUNCTION_WORDS = {
     "tr": "ve bir için değil ile olarak",
 }
 _WORDS = {w: tuple(k for k, ws in FUNCTION_WORDS.items() if w in ws.split()) for ws in FUNCTION_WORDS.values() for w in ws.split()}
-_NO_MARKS = dict.fromkeys(map(ord, ".,!?()\"'"))
 UNSPACED = ("ja", "zh", "th", "km", "my", "lo", "bo")  # no period of theirs is ambiguous
 REPEATED = 300  # shorter lines (headings, log and form lines) are looked up among the latest before they are taken apart again
 STARTER_SHARE = 1e-5  # a starter opens at least this share of the certain sentences: at most 1 / STARTER_SHARE a language
@@ -124,7 +123,7 @@ def line_language(line: str, label: str) -> str:
             top = max(m, key=m.get)
             if m[top] * 2 >= (latin if latin >= 0 else len(_LATIN.findall(line))):
                 return label if label in SCRIPTS[top][1] else top
-    hits = [x for w in line.lower().translate(_NO_MARKS).split() if (x := _WORDS.get(w))]
+    hits = [x for w in line.lower().replace(",", " ").replace(".", " ").replace("(", " ").replace('"', " ").replace("!", " ").replace("?", " ").split() if (x := _WORDS.get(w))]
     votes: dict[str, int] = {}
     for ks in hits:
         for k in ks:
