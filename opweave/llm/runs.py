@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opweave.llm.lookalikes import LookalikeModel, rewriter
 from opweave.plans.positions import with_positions
-from opweave.session import micros
+from opweave.session import cut, micros
 
 _PART = "entity string, chunk bigint, run bigint, first_pos bigint, n bigint, first_key string, last_key string, start_us bigint, end_us bigint, ids array<string>, edge boolean"
 
@@ -94,6 +94,19 @@ def _runs(chunk: int, max_gap_us: int):
     return run
 
 
+def _open_runs(parts: DataFrame, block: int = 4096) -> DataFrame:
+    """(entity, chunk, open): start of the run that reaches into the chunk from an earlier one.
+
+    One light row for each chunk; a window holds a block of chunks, another one row for each block."""
+    last = parts.filter("edge").groupBy("entity", "chunk").agg(F.max("run").alias("known")).withColumn("block", F.floor(F.col("chunk") / block))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    near = last.withColumn("open", F.last("known", True).over(before(Window.partitionBy("entity", "block").orderBy("chunk"))))
+    far = last.groupBy(F.col("entity").alias("fe"), F.col("block").alias("fb")).agg(F.max("known").alias("known"))
+    far = far.select("fe", "fb", F.last("known", True).over(before(Window.partitionBy("fe").orderBy("fb"))).alias("earlier"))
+    both = near.join(far, (F.col("entity") == F.col("fe")) & (F.col("block") == F.col("fb")), "left")
+    return both.select("entity", "chunk", F.coalesce("open", "earlier").alias("open"))
+
+
 def collapse_runs(df: DataFrame, entity: str, time: str, end: str, key: str, same: Column, ids: str, *, max_gap_s: float = 5, chunk: int = 2048) -> DataFrame:
     """(entity, first_key, last_key, n, n_ids, duration_ms): one row per maximal run of two or more events.
 
@@ -106,17 +119,14 @@ def collapse_runs(df: DataFrame, entity: str, time: str, end: str, key: str, sam
     c = F.floor(F.col("pos") / chunk).cast("long")
     where = F.when(F.col("pos") % chunk == chunk - 1, F.array(c, c + 1)).otherwise(F.array(c))
     rows = rows.select("entity", F.explode(where).alias("chunk"), "pos", "key", "start_us", "end_us", "same", "ids")
-    parts = rows.repartition("entity", "chunk").sortWithinPartitions("entity", "chunk", "pos").mapInArrow(_runs(chunk, int(max_gap_s * 1e6)), _PART)
+    # only runs of two or more and the parts at a chunk's edges are left: cut here, they are read several times
+    parts = cut(rows.repartition("entity", "chunk").sortWithinPartitions("entity", "chunk", "pos").mapInArrow(_runs(chunk, int(max_gap_s * 1e6)), _PART))
     inner = parts.filter("not edge and n > 1").select("entity", "first_key", "last_key", "n", F.size("ids").cast("long").alias("n_ids"), "start_us", "end_us")
-    by = Window.partitionBy("entity").orderBy("chunk", "first_pos")
-    edge = parts.filter("edge").withColumn("run", F.coalesce("run", F.last("run", True).over(by.rowsBetween(Window.unboundedPreceding, -1))))
-    edge = edge.withColumn("parts", F.count("*").over(Window.partitionBy("entity", "run")))
-    single = edge.filter("parts = 1 and n > 1").select("entity", "first_key", "last_key", "n", F.size("ids").cast("long").alias("n_ids"), "start_us", "end_us")
-    more = edge.filter("parts > 1")
-    stats = more.groupBy("entity", "run").agg(
+    edge = parts.filter("edge").join(_open_runs(parts), ["entity", "chunk"], "left").withColumn("run", F.coalesce("run", "open")).drop("open")
+    stats = edge.groupBy("entity", "run").agg(
         F.min_by("first_key", "first_pos").alias("first_key"), F.max_by("last_key", "first_pos").alias("last_key"), F.sum("n").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")
-    )
-    seen = more.select(F.col("entity").alias("ie"), F.col("run").alias("ir"), F.explode("ids").alias("id")).groupBy("ie", "ir").agg(F.count_distinct("id").alias("n_ids"))
+    ).filter("n > 1")
+    seen = edge.select(F.col("entity").alias("ie"), F.col("run").alias("ir"), F.explode("ids").alias("id")).groupBy("ie", "ir").agg(F.count_distinct("id").alias("n_ids"))
     merged = stats.join(seen, (F.col("entity") == F.col("ie")) & (F.col("run") == F.col("ir")), "left").select("entity", "first_key", "last_key", "n", F.coalesce("n_ids", F.lit(0)).cast("long").alias("n_ids"), "start_us", "end_us")
-    out = inner.unionByName(single).unionByName(merged)
+    out = inner.unionByName(merged)
     return out.select("entity", "first_key", "last_key", "n", "n_ids", F.floor((F.col("end_us") - F.col("start_us")) / 1000).cast("long").alias("duration_ms"))
