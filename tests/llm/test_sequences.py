@@ -74,3 +74,22 @@ def test_no_patterns(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert frequent_subsequences(df, "e", F.col("v"), "t", "k").count() == 0
     assert collapse_runs(df, "e", "t", "t2", "k", F.col("v"), "ids").count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_patterns_beyond_what_workers_hold(spark, monkeypatch, most):
+    monkeypatch.setattr("opweave.llm.subsequences.MAX_BROADCAST", most)
+    rows = data(9, 60)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("app", F.lit("p"))
+    got = [tuple(r) for r in frequent_subsequences(df, "e", step_name("v", "app"), "t", "k", min_support=2, min_share=0.5, block=20).collect()]
+    assert set(got) == brute(rows, 3, 4, 3, 0.5, 2) and len(got) == len(set(got))
+
+
+def test_many_steps(spark):
+    """So many frequent steps that four of them outgrow a plain 64-bit code."""
+    n = 60_000
+    rows = [(e, T0 + datetime.timedelta(seconds=i), None, f"{e}{i:06d}", f"v{i}", None, "", 1) for e in "ab" for i in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert n**4 > 2**63
+    got = frequent_subsequences(df, "e", F.col("v"), "t", "k", min_support=2, max_gap=1, min_steps=4)
+    assert got.count() == n - 3
