@@ -24,7 +24,9 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from opweave.session import cut
 
 # fixed values: letters that look like a Latin letter (left: Latin; right: Cyrillic, Greek, Armenian and other twins)
 LATIN_TWINS = {
@@ -46,9 +48,11 @@ _OTHER = "Ͱ-ϿЀ-ԯԱ-ևɑ-ɡ"
 WORD = re.compile(r"[A-Za-zÀ-ɏ" + _OTHER + "]+")
 HAS_OTHER = re.compile(f"[{_OTHER}]")
 _TO_LATIN = {t: l for l, ts in LATIN_TWINS.items() for t in ts}
-_TWIN_WORD = re.compile(r"(?<![^\W\d_])[" + "".join(LATIN_TWINS) + "".join(_TO_LATIN) + r"]{2,12}(?![^\W\d_])")
+_FIRST_OF = _HAN_OF | _TO_LATIN
+_TWIN_WORD = re.compile(r"(?<![^\W\d_])[" + "".join(LATIN_TWINS) + "".join(_TO_LATIN) + r"]{2,}+(?![^\W\d_])")
 _SCRIPTS = (("CYRILLIC", "Ѐ", "ԯ"), ("GREEK", "Ͱ", "Ͽ"), ("ARMENIAN", "Ա", "և"))
-MIN_SHARE = 1e-5  # a string representative holds at least this share of the ambiguous words, so there are at most 1 / MIN_SHARE
+MAX_CLASSES = 5_000_000  # string classes of two forms or more that the workers hold; more raise an error, none is dropped
+CLEAR = 0.6  # share of its class that a representative needs to decide a word by itself
 
 
 class UnionFind:
@@ -124,15 +128,17 @@ def _edges() -> tuple[tuple[str, str], ...]:
 
 @dataclass
 class LookalikeModel:
-    """Representatives learned from a corpus; small enough for every task (bounded by Unicode and 1 / MIN_SHARE)."""
+    """Representatives learned from a corpus: of code points (bounded by Unicode) and of string classes that hold several forms.
+
+    strings: skeleton -> representative; shares: its share of the class's occurrences."""
 
     forms: dict[str, str] = field(default_factory=dict)
     strings: dict[str, str] = field(default_factory=dict)
-    counts: dict[str, int] = field(default_factory=dict)
+    shares: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
-    def fit(points: dict[str, int], words: dict[str, int]) -> "LookalikeModel":
-        """points: code point counts; words: counts of ambiguous words."""
+    def of(points: dict[str, int], classes: Iterable[tuple[str, str, float]]) -> "LookalikeModel":
+        """points: code point counts; classes: (skeleton, representative, share)."""
         uf = UnionFind()
         for a, b in _edges():
             uf.union(a, b)
@@ -141,21 +147,28 @@ class LookalikeModel:
             good = [x for x in nodes if not deviates(x)] or [min(nodes, key=lambda x: unicodedata.normalize("NFKC", x))]
             rep = max(good, key=lambda x: (points.get(x, 0), -ord(x[0])))
             forms |= {x: rep for x in nodes if x != rep and deviates(x)}
+        m = LookalikeModel(forms)
+        for key, rep, share in classes:
+            m.strings[key], m.shares[key] = rep, share
+        return m
+
+    @staticmethod
+    def fit(points: dict[str, int], words: dict[str, int]) -> "LookalikeModel":
+        """From counts in memory, also for other texts than those counted; words: counts of ambiguous words."""
         su = UnionFind()
         for w in words:
             su.union(w, "\0" + skeleton(w))
-        strings, counts = {}, {}
+        classes = []
         for nodes in su.classes().values():
             own = [x for x in nodes if x[0] != "\0"]
             rep = max(own, key=lambda x: (words[x], x))
-            strings[skeleton(rep)] = rep
-            counts[rep] = words[rep]
-        return LookalikeModel(forms, strings, counts)
+            classes.append((skeleton(rep), rep, words[rep] / sum(words[x] for x in own)))
+        return LookalikeModel.of(points, classes)
 
 
 def skeleton(word: str) -> str:
     """Every letter by the first member of its class."""
-    return "".join(_TO_LATIN.get(c) or _HAN_OF.get(c, c) for c in word)
+    return "".join(_FIRST_OF.get(c, c) for c in word)
 
 
 _EMOJI = re.compile("[©®‼-㊙\U0001f000-\U0001fbff️]")
@@ -267,7 +280,7 @@ class Rewriter:
         if near and near not in own:
             return "LATIN"
         rep = self.model.strings.get(skeleton(w), "")
-        latin = len(w) > 1 and rep and all(script(c) == "LATIN" for c in rep) and self.model.counts[rep] >= 20
+        latin = len(w) > 1 and rep and all(script(c) == "LATIN" for c in rep) and self.model.shares[skeleton(w)] >= CLEAR
         rare = any(c in RARE for c in w)
         return "LATIN" if latin or rare and not near else next(iter(own))
 
@@ -279,7 +292,7 @@ class Rewriter:
     def _run(self, m: re.Match) -> str:
         w = m.group()
         rep = self.model.strings.get(skeleton(w))
-        if rep is not None and rep != w and self.model.counts[rep] >= 3:
+        if rep is not None and rep != w and self.model.shares[skeleton(w)] >= CLEAR:
             return rep
         out = list(w)
         for i, c in enumerate(w):  # no representative: the neighbours decide
@@ -364,15 +377,17 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_lookalikes(df: DataFrame, columns: list[str]) -> LookalikeModel:
     """Counts over all rows of ``columns``.
 
-    To the driver come code points (bounded by Unicode) and ambiguous words that hold at
-    least ``MIN_SHARE`` of all ambiguous words (at most 1 / MIN_SHARE of them)."""
+    Words are joined to their classes in Spark.  To the driver come code points (bounded by
+    Unicode) and the classes that hold two forms or more: a class of one form has nothing to
+    rewrite.  A representative's weight is its share of its class, whatever the corpus's size."""
     got = df.select(*[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(_count, "kind string, key string, n bigint")
-    got = got.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("kind"))
-    kept = got.withColumn("all", total).filter((F.col("kind") == "p") | (F.col("n") >= F.greatest(F.lit(2), F.col("all") * MIN_SHARE))).drop("all").toPandas()
-    points = {k: int(n) for kind, k, n in kept.itertuples(index=False) if kind == "p"}
-    words = {k: int(n) for kind, k, n in kept.itertuples(index=False) if kind == "w"}
-    return LookalikeModel.fit(points, words)
+    got = cut(got.groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    points = {r[0]: r[1] for r in got.filter("kind = 'p'").select("key", "n").collect()}
+    words = got.filter("kind = 'w'").withColumn("class", F.translate("key", "".join(_FIRST_OF), "".join(_FIRST_OF.values()))).groupBy("class").agg(F.count("*").alias("forms"), F.max_by("key", F.struct("n", "key")).alias("rep"), (F.max("n") / F.sum("n")).alias("share"))
+    classes = [tuple(r) for r in words.filter("forms > 1").select("class", "rep", "share").limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes of several forms; raise MAX_CLASSES if the workers can hold them")
+    return LookalikeModel.of(points, classes)
 
 
 _REWRITERS: dict[int, Rewriter] = {}

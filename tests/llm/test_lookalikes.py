@@ -53,3 +53,20 @@ def test_spark(spark):
     f = {r.id: (r.text_form, r.window_form) for r in consistent_form(df, m, ["text", "window"]).collect()}
     assert f["1"] == ("AB", None) and f["2"] == (None, "") and f["3"][1] == "ok" * 5000
     assert deviating_fields(df.limit(0), fit_lookalikes(df.limit(0), ["text"]), "id", ["text"]).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 7, 1000])
+def test_decisions_do_not_depend_on_size(times):
+    words = {"ВЕСНА": 1 * times, "BECHA": 0, "СОР": 2 * times, "COP": 30 * times, "НОТА": 9 * times, "HOTA": 5 * times}
+    m = LookalikeModel.fit({}, {w: n for w, n in words.items() if n})
+    r = Rewriter(m)
+    assert r("СОР") == "COP" and r("ВЕСНА") == "ВЕСНА" and r("НОТА") == "НОТА"
+
+
+def test_long_words_have_classes(spark):
+    long = "сорасеохсорасеохсорасеох"
+    latin = "".join({"с": "c", "о": "o", "р": "p", "а": "a", "е": "e", "х": "x"}[c] for c in long)
+    df = spark.createDataFrame([(latin,)] * 9 + [(long,), (None,), ("",)], "t string")
+    m = fit_lookalikes(df, ["t"])
+    assert Rewriter(m)(long) == latin
+    assert fit_lookalikes(df.limit(0), ["t"]).strings == {}
