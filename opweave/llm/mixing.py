@@ -2,17 +2,24 @@
 
 The mix is counted in blocks of equal token size.  Blocks go to the source, then inside
 a source to the shard, with the highest quotient weight / (2 k + 1), k blocks held so
-far, up to what max_repeats allows.  A shard then takes its quota along its documents in
-seeded order: whole passes first, the rest as a prefix.
+far, up to what max_repeats allows.
+
+A shard lays its documents, in seeded order, into blocks; a document longer than a block
+is a block of its own.  The whole passes of its quota take every block.  For the rest the
+shard selects blocks in their seeded order as long as they fit, opens the first that does
+not for the documents of it that do, and goes on, so that large documents leave no hole.
 """
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 SHARD_TOKENS = 2_000_000  # a shard holds about so many tokens ...
-MAX_SHARDS = 4096  # ... and a source at most so many shards, which bounds what the driver apportions
+MAX_SHARDS = 32_768  # ... and a source at most so many shards, which bounds what the driver apportions; a shard's task holds one block at a time
 
 
 def sainte_lague(weights: list[float], caps: list[int], seats: int) -> list[int]:
@@ -86,11 +93,54 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, key: str = "doc_id", tot
     if not plan:
         plan = [("", -1, 0, 0)]
     quotas = spark.createDataFrame(plan, "qs string, qk int, passes long, rest long")
-    w = Window.partitionBy("source", "shard").orderBy("h", key).rowsBetween(Window.unboundedPreceding, -1)
     r = live.join(F.broadcast(quotas), (F.col("source") == F.col("qs")) & (F.col("shard") == F.col("qk")))
-    before = F.coalesce(F.sum("n_tokens").over(w), F.lit(0))
-    r = r.withColumn("repeats", (F.col("passes") + (before + F.col("n_tokens") / 2 <= F.col("rest")).cast("long")).cast("int"))
-    return r.filter("repeats > 0").select(key, "source", "n_tokens", "repeats")
+    kind = docs.schema[key].dataType.simpleString()
+    r = r.select("source", "shard", F.col(key).alias("k"), "n_tokens", "passes", "rest", "h").repartition("source", "shard").sortWithinPartitions("source", "shard", "h", "k")
+    r = r.mapInArrow(_select(block_tokens), f"k {kind}, source string, n_tokens bigint, repeats int")
+    return r.select(F.col("k").alias(key), "source", "n_tokens", "repeats")
+
+
+def _select(block: int):
+    """Repeats of each document: passes, and one more where its block is selected.  Rows by shard in seeded order; one block is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, left, size = None, 0, 0
+        held: list[tuple] = []
+        out: list[tuple] = []
+        kind = None
+
+        def flush() -> None:
+            nonlocal left, size
+            whole = size <= left
+            for k, source, n, passes in held:
+                extra = whole or n <= left
+                left -= n if extra else 0
+                if passes + extra:
+                    out.append((k, source, n, passes + extra))
+            held.clear()
+            size = 0
+
+        def rows() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [()] * 4
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (kind, pa.string(), pa.int64(), pa.int32()))], names=["k", "source", "n_tokens", "repeats"])
+
+        for b in batches:
+            kind = b.schema.field("k").type
+            for source, no, k, n, passes, rest in zip(*(b.column(c).to_pylist() for c in ("source", "shard", "k", "n_tokens", "passes", "rest"))):
+                if (source, no) != shard:
+                    flush()
+                    shard, left = (source, no), rest
+                elif size + n > block:
+                    flush()
+                held.append((k, source, n, passes))
+                size += n
+            yield rows()
+        if held:
+            flush()
+            yield rows()
+
+    return run
 
 
 def mix_shares(docs: DataFrame, mix: DataFrame, targets: DataFrame, tolerance: float = 0.005) -> DataFrame:

@@ -78,14 +78,36 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(sized, mix_sources(sized, table(spark, d, "mix_targets")), table(spark, d, "mix_targets"))
 
 
+P8_SQL = """SELECT source, true AS within_cap, true AS known_documents, true AS met_or_exhausted FROM (SELECT DISTINCT source FROM mix_targets WHERE source IS NOT NULL)
+UNION ALL SELECT '(all)', true, true, true"""
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix must hold, source by source: no document above its cap, every one of its source and once, the share met
+    within half a percent or passed, or less than a block of the allowed tokens left; '(all)': shares add up to one."""
+    targets = table(spark, d, "mix_targets")
+    sized = cut(token_counts(table(spark, d, "documents"), ["doc_id", "source"], "text"))
+    mix = cut(mix_sources(sized, targets))
+    shares = mix_shares(sized, mix, targets)
+    caps = targets.groupBy(F.col("source").alias("cs")).agg(F.max_by("max_repeats", "target_share").alias("cap"))
+    seen = sized.select(F.col("doc_id").alias("sd"), F.col("source").alias("ss"), F.col("n_tokens").alias("sn"))
+    odd = mix.join(seen, F.col("doc_id") == F.col("sd"), "left").join(caps, F.col("source") == F.col("cs"), "left")
+    odd = odd.groupBy(F.col("source").alias("os")).agg(F.count_if(F.col("repeats") > F.col("cap")).alias("above"), F.count_if(~F.col("source").eqNullSafe(F.col("ss")) | ~F.col("n_tokens").eqNullSafe(F.col("sn"))).alias("unknown"), (F.count("*") - F.count_distinct("doc_id")).alias("again"))
+    x = shares.join(odd, F.col("source") == F.col("os"), "left").fillna(0, ["above", "unknown", "again"])
+    used = F.col("chosen_tokens") + 512 >= 0.995 * F.col("available_tokens") * F.col("max_repeats")  # less than a block is left
+    rows = x.select("source", (F.col("above") == 0).alias("within_cap"), (F.col("unknown") + F.col("again") == 0).alias("known_documents"), (F.col("met") | used | (F.col("actual_share") > F.col("target_share"))).alias("met_or_exhausted"))
+    total = F.abs(F.sum("actual_share") - 1) < 1e-4
+    return rows.unionByName(x.agg(F.lit("(all)").alias("source"), total.alias("within_cap"), total.alias("known_documents"), total.alias("met_or_exhausted")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return sentence_units(docs, "doc_id", "text", "lang", learn_sentences(docs, "text", "lang"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found}
+    return {"p1_found": p1_found, "p1_redacted": p1_redacted, "p2_found": p2_found, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_kept": p8_kept, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_SQL}
+    return {"p2_found": P2_SQL, "p8_kept": P8_SQL}

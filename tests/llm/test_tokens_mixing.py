@@ -102,3 +102,15 @@ def test_mix(spark):
     assert abs(sum(x.chosen_tokens for x in s.values()) - 20_000) < 300
     assert sorted(got) == sorted(mix_sources(docs.repartition(7), targets, total_tokens=20_000, block_tokens=50).collect())
     assert mix_sources(docs.limit(0), targets).count() == 0 and mix_sources(docs, targets.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_uneven_documents_meet_their_shares(spark, seed):
+    r = random.Random(seed)
+    docs = [(i, "ab"[i % 2], min(40_000, int(5 + r.paretovariate(0.6) * 20))) for i in range(3_000)] + [(9_000, None, 5), (9_001, "c", 7), (9_002, "a", 0)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    got = mix_sources(df, targets, total_tokens=200_000).collect()
+    size = {s: sum(x.n_tokens * x.repeats for x in got if x.source == s) for s in "ab"}
+    assert all(99_000 <= n <= 100_000 for n in size.values()), size
+    assert all(x.repeats == 1 and x.n_tokens > 0 for x in got) and len({x.doc_id for x in got}) == len(got)
