@@ -9,9 +9,14 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
 
+def casefold(c: Column) -> Column:
+    """Lower case with the two foldings that lower() leaves: final sigma and sharp s."""
+    return F.replace(F.replace(F.lower(c), F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
+
+
 def collapse(c: Column) -> Column:
-    """Lower case, white space collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    """Case folded, white space of any kind collapsed and trimmed."""
+    return F.trim(F.regexp_replace(casefold(c), r"(?U)\s+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -134,3 +139,16 @@ def shorten(c: Column, n: int) -> Column:
 def stable_id(*cols: Column, size: int = 16) -> Column:
     """Upper-case prefix of the SHA-256 of the joined values."""
     return F.upper(F.left(F.sha2(F.concat_ws("|", *cols), 256), F.lit(size)))
+
+
+# fixed values: entity types that identify an object
+LINKABLE = ("INVOICE_ID", "EMPLOYEE_ID", "CASE_ID", "DOCUMENT_ID", "CUSTOMER_ID", "ID_CANDIDATE", "EMAIL", "FILENAME")
+
+
+def linkable(entities: Column) -> Column:
+    """'TYPE\\x1fvalue' of the entities that identify an object, each once: the linkable types, and URLs with more than a host."""
+    kind = lambda e: F.upper(F.trim(e["type"]))
+    value = lambda e: casefold(F.trim(e["value"]))
+    page = lambda e: F.contains(F.regexp_replace(value(e), r"(?s)^.*?://", ""), F.lit("/"))
+    ok = F.filter(entities, lambda e: F.coalesce((value(e) != "") & (kind(e).isin(*LINKABLE) | (kind(e) == "URL") & page(e)), F.lit(False)))
+    return F.coalesce(F.array_distinct(F.transform(ok, lambda e: F.concat(kind(e), F.lit("\x1f"), value(e)))), F.array().cast("array<string>"))

@@ -16,12 +16,12 @@ def process_segments(log: DataFrame, entity: str, time: str, key: str) -> DataFr
 
     log: ``entity``, ``time``, ``key``, event, process, case_id.  process_started is ignored while the same
     process and case is active, else it closes what is active and opens; process_resumed does so with no
-    case; closing events close.  The next event ends a segment; nothing is made up at the end of the log;
+    case; both are ignored without a process; closing events close.  The next event ends a segment; nothing is made up at the end of the log;
     segments without duration are dropped, closings without an active process do nothing."""
     from opweave.session import micros
 
-    events = log.filter(F.col("event").isin("process_started", "process_resumed", *CLOSING))
     opens = F.col("event").isin("process_started", "process_resumed")
+    events = log.filter(F.col("event").isin(*CLOSING) | opens & F.col("process").isNotNull())
     case = F.when(F.col("event") == "process_started", F.col("case_id"))
     x = events.withColumn("state", F.when(opens, F.struct(F.col("process").alias("process"), case.alias("case_id")))).withColumn("us", micros(time))
     y, w = sequence(x, entity, time, key)
@@ -53,25 +53,30 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     session, seen, n = None, {}, 0
     for b in batches:
         out = []
-        for s, p, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        for s, p, a, until in zip(*(b.column(c).to_pylist() for c in ("session_id", "pos", "a_pos", "until"))):
             if s != session:
                 session, seen, n = s, {}, 0
-            g = seen.get(a) if a is not None else None
+            g = None
+            if a is not None:
+                g, last = seen[a]
+                if last == p:  # no later link asks for this place
+                    del seen[a]
             if g is None:
                 n += 1
                 g = n
-            seen[p] = g
-            if len(seen) > 20_000:  # links reach back seconds; older places cannot be asked for again
-                seen = dict(list(seen.items())[-10_000:])
+            if until is not None:
+                seen[p] = g, until
             out.append(g)
-        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.int64()), b.column(3)], names=["session_id", "pos", "grp", "activity_id"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(out, pa.int64()), b.column("activity_id")], names=["session_id", "pos", "grp", "activity_id"])
 
 
 def greedy_groups(acts: DataFrame, links: DataFrame) -> DataFrame:
     """Each activity joins the group of its best earlier link or begins one: (session_id, pos, grp, activity_id).
 
-    acts: session_id, pos, activity_id.  A session streams through its task in order; the state is the
-    groups of its latest places."""
+    acts: session_id, pos, activity_id; links: session_id, a_pos < b_pos, one for each b_pos.  A session streams
+    through its task in order; the state is the groups of the places that a later link asks for, each until its last."""
     l = links.select(F.col("session_id").alias("ls"), "b_pos", "a_pos")
-    x = acts.join(l, (F.col("session_id") == F.col("ls")) & (F.col("pos") == F.col("b_pos")), "left").select("session_id", "pos", "a_pos", "activity_id")
+    last = links.groupBy(F.col("session_id").alias("us"), F.col("a_pos").alias("up")).agg(F.max("b_pos").alias("until"))
+    x = acts.join(l, (F.col("session_id") == F.col("ls")) & (F.col("pos") == F.col("b_pos")), "left").join(last, (F.col("session_id") == F.col("us")) & (F.col("pos") == F.col("up")), "left")
+    x = x.select("session_id", "pos", "a_pos", "activity_id", "until")
     return x.repartition("session_id").sortWithinPartitions("session_id", "pos").mapInArrow(_groups, "session_id string, pos bigint, grp bigint, activity_id string")

@@ -8,6 +8,7 @@ from opweave.operators.interval_periods import parse_ms
 from opweave.plans.catalogue import query
 from opweave.plans.interval_queries import PRED, SEGS, _MS, preds, segs
 from opweave.plans.session_queries import ACTS, SEQ, _CAND, acts, candidates
+from opweave.plans.text_queries import _clean, _clean_sql
 from opweave.plans.vector_queries import _SCORED, _TFIDF, scored_pairs
 from opweave.plans.workflow_queries import _CT, _EV, _OWNED, contingency, gap_groups, owned
 from opweave.session import micros, table
@@ -22,14 +23,16 @@ def session_bounds_text(spark, d):
     return g.filter("b > a").select("session_id", "first_text", "last_text")
 
 
-@query("explicit_entities", f"""WITH {ACTS}, x AS (SELECT activity_id, unnest(list_concat(list_transform(entities, lambda e: e.value), source_event_ids, triggered_by)) AS v FROM acts)
-SELECT DISTINCT activity_id, v AS entity FROM x WHERE v <> '' AND NOT regexp_matches(v, '^(act_|evt|event_)')""")
+_EXPLICIT = f"""SELECT DISTINCT activity_id, coalesce(nullif(k, ''), 'UNSPECIFIED') AS type, v AS value FROM (SELECT activity_id, coalesce({_clean_sql("e.type")}, '') AS k, {_clean_sql("e.value")} AS v FROM (SELECT activity_id, unnest(entities) AS e FROM acts))
+ WHERE v <> '' AND NOT (lower(k) IN ('', 'id', 'identifier') AND regexp_matches(v, '^(act_|evt_|event_)'))"""
+
+
+@query("explicit_entities", f"WITH {ACTS} {_EXPLICIT}")
 def explicit_entities(spark, d):
-    """Named entities of an activity without provenance ids, each once."""
-    none = F.array().cast("array<string>")
-    all_ = F.concat(*[F.coalesce(c, none) for c in ("entities.value", "source_event_ids", "triggered_by")])
-    keep = F.filter(F.array_distinct(all_), lambda v: (v != "") & ~v.rlike("^(act_|evt|event_)"))
-    return acts(spark, d).select("activity_id", F.explode(keep).alias("entity"))
+    """Entities an activity names, with their kind; ids of activities and events under no kind are provenance, not entities."""
+    e = acts(spark, d).select("activity_id", F.explode("entities").alias("e")).select("activity_id", F.coalesce(_clean("e.type"), F.lit("")).alias("k"), _clean("e.value").alias("value"))
+    e = e.filter((F.col("value") != "") & ~(F.lower("k").isin("", "id", "identifier") & F.col("value").rlike("^(act_|evt_|event_)")))
+    return e.select("activity_id", F.coalesce(F.nullif("k", F.lit("")), F.lit("UNSPECIFIED")).alias("type"), "value").distinct()
 
 
 @query("unlinked_pairs", f"""{_EV}, {_CAND}, same AS (SELECT sum(n * (n - 1) / 2)::BIGINT AS n FROM (SELECT session_id, p, sum(n) AS n FROM ct GROUP BY 1, 2)),

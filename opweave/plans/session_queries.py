@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from opweave.functions import text as T
 from opweave.operators import sequences as S
 from opweave.plans.catalogue import query
 from opweave.plans.sequence import sequence
-from opweave.session import micros, table
+from opweave.session import cut, micros, table
 from opweave.sources.tables import activities_once, activity_violations
 
 ACTS = """acts AS (SELECT activity_id, session_id, start, "end", upper(trim(type)) AS type, lower(trim(app)) AS app, "window", browser_tab, browser_url, target_field, text, screen_text, entities, source_event_ids, triggered_by, verification_status, epoch_us(start) AS start_us, epoch_us("end") AS end_us
@@ -52,18 +53,38 @@ def gap_sessions(spark, d):
     return S.gap_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", 21600)
 
 
-_PAIR_COLS = ["start_us", "end_us", "app", "window", "type", "browser_tab", "target_field"]
+WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
-@query("pair_features", f"""WITH {SEQ}, p AS (SELECT *, lag(activity_id) OVER w AS prev_activity_id, lag(start_us) OVER w AS ps, lag(end_us) OVER w AS pe, lag(app) OVER w AS pa, lag("window") OVER w AS pw, lag(type) OVER w AS pt, lag(browser_tab) OVER w AS pb, lag(target_field) OVER w AS pf
-  FROM seq WINDOW w AS (PARTITION BY session_id ORDER BY pos))
-SELECT session_id, activity_id, prev_activity_id, round(greatest((start_us - coalesce(pe, ps)) / 1e6, 0), 6) AS gap_s, round(ln(1 + greatest((start_us - coalesce(pe, ps)) / 1e6, 0)), 6) AS log_gap,
- round(ln(greatest((coalesce(end_us, start_us) - start_us) / 1e6, 0.001) / greatest((coalesce(pe, ps) - ps) / 1e6, 0.001)), 6) AS log_duration_ratio,
- coalesce(app <> '' AND app = pa, false)::INT AS same_app, coalesce("window" <> '' AND "window" = pw, false)::INT AS same_window, coalesce(type <> '' AND type = pt, false)::INT AS same_type, coalesce(browser_tab <> '' AND browser_tab = pb, false)::INT AS same_browser_tab, coalesce(target_field <> '' AND target_field = pf, false)::INT AS same_target_field,
- concat_ws('>', pt, type) AS type_pair FROM p WHERE pos > 0""")
+def _low(x: str) -> str:
+    return f"replace(replace(lower({x}), 'ς', 'σ'), 'ß', 'ss')"
+
+
+def _fold(x: str) -> str:
+    return f"trim(regexp_replace({_low(x)}, '{WS}', ' ', 'g'))"
+
+
+def _jaccard(x: str, y: str) -> str:
+    g = lambda c: f"list_distinct([{c}[i:i+1] for i in range(1, len({c}))])"
+    n = f"len(list_intersect({g(x)}, {g(y)}))"
+    return f"round(CASE WHEN {x} = '' OR {y} = '' THEN 0.0 WHEN {x} = {y} THEN 1.0 WHEN len({x}) < 2 OR len({y}) < 2 THEN 0.0 ELSE {n} / (len({g(x)}) + len({g(y)}) - {n}) END, 6)"
+
+
+_PAIR_TYPES = ", ".join(f"'{t}'" for t in S.PAIR_ENTITIES)
+_PAIR_SQL = f"""WITH {SEQ}, f AS (SELECT session_id, activity_id, pos, start_us / 1e6 AS t0, coalesce(end_us, start_us) / 1e6 AS t1, {", ".join(f"coalesce({_fold(c)}, '') AS {n}" for c, n in (("app", "app"), ('"window"', "win"), ("browser_tab", "tab"), ("type", "typ"), ("text", "txt"), ("screen_text", "scr")))},
+ coalesce(split_part(split_part(regexp_replace({_fold("browser_url")}, '^[a-z]+://', ''), '/', 1), ':', 1), '') AS host, coalesce(list_filter(entities, lambda e: upper({_fold("e.type")}) IN ({_PAIR_TYPES})), []) AS ents, coalesce(list_distinct(list_filter(triggered_by, lambda x: x <> '')), []) AS links FROM seq),
+k AS (SELECT *, list_distinct(list_transform(list_filter(ents, lambda e: {_fold("e.value")} <> ''), lambda e: upper({_fold("e.type")}) || ':' || {_fold("e.value")})) AS keys, list_distinct(list_transform(ents, lambda e: upper({_fold("e.type")}))) AS types FROM f),
+p AS (SELECT b.session_id, b.activity_id, a.activity_id AS prev_activity_id, a.t0 AS a0, a.t1 AS a1, b.t0 AS b0, b.t1 AS b1, greatest(a.t1 - a.t0, 0.001) AS ad, greatest(b.t1 - b.t0, 0.001) AS bd, a AS x, b AS y FROM k a JOIN k b ON a.session_id = b.session_id AND b.pos = a.pos + 1)
+SELECT session_id, activity_id, prev_activity_id, round(ln(1 + greatest(b0 - a1, 0)), 6) AS log_gap_seconds, round(greatest(least(a1, b1) - greatest(a0, b0), 0) / least(ad, bd), 6) AS overlap_ratio, round(ln(greatest(ad, bd) / least(ad, bd)), 6) AS duration_ratio_log,
+ len(list_intersect(x.keys, y.keys))::DOUBLE AS shared_entity_count, len(list_intersect(x.types, y.types))::DOUBLE AS shared_entity_type_count, {_jaccard("x.txt", "y.txt")} AS text_similarity, {_jaccard("x.scr", "y.scr")} AS screen_similarity,
+ len(x.keys)::DOUBLE AS entity_a_count, len(y.keys)::DOUBLE AS entity_b_count, (x.app <> '' AND x.app = y.app)::INT AS same_app, (x.win <> '' AND x.win = y.win)::INT AS same_window, (x.tab <> '' AND x.tab = y.tab)::INT AS same_browser_tab, (x.host <> '' AND x.host = y.host)::INT AS same_browser_domain,
+ (x.typ = y.typ)::INT AS same_activity_type, (len(list_intersect(x.links, y.links)) > 0)::INT AS triggered_by, (len(list_intersect(x.keys, y.keys)) > 0)::INT AS has_shared_entity, (a0 <= b0)::INT AS a_before_b, x.typ || '|' || y.typ AS activity_type_pair FROM p"""
+
+
+@query("pair_features", _PAIR_SQL)
 def pair_features(spark, d):
-    p = S.pair_features(S.consecutive_pairs(acts(spark, d), "session_id", "start", "activity_id", _PAIR_COLS))
-    return p.select("session_id", "activity_id", "prev_activity_id", "gap_s", "log_gap", "log_duration_ratio", "same_app", "same_window", "same_type", "same_browser_tab", "same_target_field", "type_pair")
+    p = S.pair_features(S.consecutive_pairs(S.pair_columns(acts(spark, d)), "session_id", "start", "activity_id", S.PAIR_COLS))
+    return p.select("session_id", "activity_id", "prev_activity_id", *S.PAIR_FEATURES)
 
 
 @query("boundary_cuts", f"""WITH {SEQ}, p AS (SELECT *, lag(start_us) OVER w AS ps, lag(end_us) OVER w AS pe FROM seq WINDOW w AS (PARTITION BY session_id ORDER BY pos))
@@ -112,24 +133,27 @@ def near_pairs(spark, d):
     return S.near_pairs(acts(spark, d), "session_id", "start", "activity_id", 45, 20)
 
 
-_SHARED = """ent AS (SELECT DISTINCT session_id, activity_id, start, v AS value FROM (SELECT session_id, activity_id, start, unnest(list_append(list_transform(entities, lambda x: x.value), target_field)) AS v FROM acts) WHERE v IS NOT NULL),
+_LINKABLE = ", ".join(f"'{t}'" for t in T.LINKABLE)
+_ENTS = f"""coalesce(list_distinct(list_transform(list_filter(entities, lambda e: {_low("trim(e.value)")} <> '' AND (upper(trim(e.type)) IN ({_LINKABLE}) OR upper(trim(e.type)) = 'URL' AND contains(regexp_replace({_low("trim(e.value)")}, '(?s)^.*?://', ''), '/'))), lambda e: upper(trim(e.type)) || chr(31) || {_low("trim(e.value)")})), [])"""
+_SHARED = f"""ent AS (SELECT DISTINCT session_id, activity_id, start, v AS value FROM (SELECT session_id, activity_id, start, unnest({_ENTS}) AS v FROM acts)),
 few AS (SELECT session_id, value FROM ent GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200),
 holders AS (SELECT ent.*, row_number() OVER (PARTITION BY session_id, value ORDER BY start, activity_id) AS k FROM ent SEMI JOIN few USING (session_id, value)),
 shared AS (SELECT x.session_id, x.value, x.activity_id AS a, y.activity_id AS b FROM holders x JOIN holders y ON x.session_id = y.session_id AND x.value = y.value AND y.k BETWEEN x.k + 1 AND x.k + 5)"""
 
 
-def _shared(spark, d):
-    a = acts(spark, d).select("session_id", "start", "activity_id", F.explode(F.concat(F.coalesce("entities.value", F.array().cast("array<string>")), F.array("target_field"))).alias("value"))
+def _shared(a: DataFrame) -> DataFrame:
+    a = a.select("session_id", "start", "activity_id", F.explode(T.linkable(F.col("entities"))).alias("value"))
     return S.shared_key_pairs(a, "session_id", "start", "activity_id", "value", 5, 200)
 
 
 @query("shared_key_pairs", f"WITH {ACTS}, {_SHARED} SELECT session_id, value, a, b FROM shared")
 def shared_key_pairs(spark, d):
-    return _shared(spark, d)
+    """Activities of a session that name the same object, each with its next five; more than 200 holders are context, not evidence."""
+    return _shared(acts(spark, d))
 
 
 _TRIG = """trig AS (SELECT DISTINCT t.session_id, s.a, t.b FROM (SELECT session_id, activity_id AS b, unnest(triggered_by) AS ref FROM acts) t
- JOIN (SELECT activity_id AS a, activity_id AS id FROM acts UNION SELECT activity_id, unnest(source_event_ids) FROM acts) s ON t.ref = s.id WHERE s.a <> t.b)"""
+ JOIN (SELECT session_id, activity_id AS a, activity_id AS id FROM acts UNION SELECT session_id, activity_id, unnest(source_event_ids) FROM acts) s ON t.ref = s.id AND t.session_id = s.session_id WHERE s.a <> t.b)"""
 
 
 @query("trigger_pairs", f"WITH {ACTS}, {_TRIG} SELECT session_id, a, b FROM trig")
@@ -137,16 +161,25 @@ def trigger_pairs(spark, d):
     return S.trigger_pairs(acts(spark, d))
 
 
-def candidates(spark, d):
-    n = S.near_pairs(acts(spark, d), "session_id", "start", "activity_id", 45, 20).select("session_id", "a", "b", F.lit("near").alias("reason"))
-    s = _shared(spark, d).select("session_id", "a", "b", F.lit("shared_entity").alias("reason"))
-    t = S.trigger_pairs(acts(spark, d)).select("session_id", "a", "b", F.lit("triggered").alias("reason"))
+def _edge_acts(spark: SparkSession, d: str) -> DataFrame:
+    """What edges need of the activities, without repeats, written once for its seven readers."""
+    return cut(acts(spark, d).select("session_id", "activity_id", "start", "start_us", "app", "window", "browser_tab", "text", "entities", "source_event_ids", "triggered_by"))
+
+
+def _candidates(a: DataFrame) -> DataFrame:
+    n = S.near_pairs(a, "session_id", "start", "activity_id", 45, 20).select("session_id", "a", "b", F.lit("nearby").alias("reason"))
+    s = _shared(a).select("session_id", "a", "b", F.lit("shared_entity").alias("reason"))
+    t = S.trigger_pairs(a).select("session_id", "a", "b", F.lit("triggered_by").alias("reason"))
     x = S.canonical(n.unionByName(s).unionByName(t))
     return x.groupBy("session_id", "a", "b").agg(F.array_join(F.array_sort(F.collect_set("reason")), "+").alias("reasons"))
 
 
+def candidates(spark, d):
+    return _candidates(_edge_acts(spark, d))
+
+
 _CAND = _NEAR + ", " + _SHARED + ", " + _TRIG + """, cand AS (SELECT session_id, least(a, b) AS a, greatest(a, b) AS b, string_agg(DISTINCT reason, '+' ORDER BY reason) AS reasons FROM (
- SELECT session_id, a, b, 'near' AS reason FROM near UNION ALL SELECT session_id, a, b, 'shared_entity' FROM shared UNION ALL SELECT session_id, a, b, 'triggered' FROM trig) WHERE a <> b GROUP BY ALL)"""
+ SELECT session_id, a, b, 'nearby' AS reason FROM near UNION ALL SELECT session_id, a, b, 'shared_entity' FROM shared UNION ALL SELECT session_id, a, b, 'triggered_by' FROM trig) WHERE a <> b GROUP BY ALL)"""
 
 
 @query("candidate_union", f"WITH {SEQ}, {_CAND} SELECT session_id, a, b, reasons FROM cand")
@@ -154,23 +187,19 @@ def candidate_union(spark, d):
     return candidates(spark, d)
 
 
-@query("edge_scores", f"""WITH {SEQ}, {_CAND}, f AS (SELECT c.*, x.app AS xa, y.app AS ya, x."window" AS xw, y."window" AS yw, x.browser_tab AS xb, y.browser_tab AS yb, abs(x.start_us - y.start_us) / 1e6 AS gap_s FROM cand c JOIN acts x ON c.a = x.activity_id JOIN acts y ON c.b = y.activity_id),
-s AS (SELECT *, 5 * (reasons LIKE '%shared_entity%')::INT + 5 * (reasons LIKE '%triggered%')::INT + 2 * coalesce(xw <> '' AND xw = yw, false)::INT + 2 * coalesce(xb <> '' AND xb = yb, false)::INT + coalesce(xa <> '' AND xa = ya, false)::INT + (gap_s <= 3)::INT - (gap_s > 30)::INT AS score FROM f)
-SELECT session_id, a, b, reasons, score, CASE WHEN score >= 5 THEN 'STRONG' WHEN score >= 3 THEN 'MODERATE' ELSE 'WEAK' END AS strength FROM s""")
+@query("edge_scores", f"""WITH {SEQ}, {_CAND}, n AS (SELECT activity_id, start_us, {", ".join(f"coalesce({_low(f'trim({c})')}, '') AS {k}" for c, k in (("app", "app"), ('"window"', "win"), ("browser_tab", "tab"), ("text", "txt")))}, {_ENTS} AS ents FROM acts),
+f AS (SELECT c.*, abs(x.start_us - y.start_us) / 1e6 AS gap_s, len(list_intersect(x.ents, y.ents))::INT AS n_shared, reasons LIKE '%triggered_by%' AS trig, x.win <> '' AND x.win = y.win AS sw, x.app <> '' AND x.app = y.app AS sa, x.tab <> '' AND x.tab = y.tab AS st,
+ len(x.txt) >= 4 AND len(y.txt) >= 4 AND (contains(x.txt, y.txt) OR contains(y.txt, x.txt)) AS sem FROM cand c JOIN n x ON c.a = x.activity_id JOIN n y ON c.b = y.activity_id),
+s AS (SELECT *, 5 * (n_shared > 0)::INT + 5 * trig::INT + 2 * sw::INT + 2 * sa::INT + st::INT + sem::INT + (gap_s <= 30)::INT - (gap_s > 120)::INT AS score FROM f)
+SELECT session_id, a, b, reasons, gap_s, n_shared, concat_ws(',', CASE WHEN n_shared > 0 THEN 'same_entity' END, CASE WHEN trig THEN 'triggered_by' END, CASE WHEN sw THEN 'same_window' END, CASE WHEN sa THEN 'same_app' END, CASE WHEN st THEN 'same_browser_tab' END, CASE WHEN sem THEN 'semantic_match' END, CASE WHEN gap_s <= 30 THEN 'close_in_time' END, CASE WHEN gap_s > 120 THEN 'large_time_gap' END) AS evidence,
+ score, CASE WHEN n_shared > 0 OR trig THEN 'STRONG' WHEN score >= 3 THEN 'MODERATE' ELSE 'WEAK' END AS strength FROM s""")
 def edge_scores(spark, d):
     return scored_edges(spark, d)
 
 
 def scored_edges(spark, d):
-    a = acts(spark, d).select("activity_id", "app", "window", "browser_tab", "start_us")
-    side = lambda p: a.select(*[F.col(c).alias(p + c) for c in a.columns])
-    f = candidates(spark, d).join(side("x_"), F.col("a") == F.col("x_activity_id")).join(side("y_"), F.col("b") == F.col("y_activity_id"))
-    same = lambda c: F.coalesce((F.col(f"x_{c}") != "") & (F.col(f"x_{c}") == F.col(f"y_{c}")), F.lit(False)).cast("int")
-    gap = F.abs(F.col("x_start_us") - F.col("y_start_us")) / 1e6
-    has = lambda r: F.col("reasons").contains(r).cast("int")
-    score = 5 * has("shared_entity") + 5 * has("triggered") + 2 * same("window") + 2 * same("browser_tab") + same("app") + (gap <= 3).cast("int") - (gap > 30).cast("int")
-    f = f.withColumn("score", score).withColumn("strength", F.when(F.col("score") >= 5, "STRONG").when(F.col("score") >= 3, "MODERATE").otherwise("WEAK"))
-    return f.select("session_id", "a", "b", "reasons", "score", "strength")
+    a = _edge_acts(spark, d)
+    return S.score_edges(_candidates(a), a)
 
 
 @query("edge_checks", f"""WITH {SEQ}, {_CAND} SELECT count(*) AS n_edges, count(*) FILTER (a >= b) AS not_canonical, count(*) - count(DISTINCT (a, b)) AS repeated, count(*) FILTER (reasons = '') AS no_reason FROM cand""")

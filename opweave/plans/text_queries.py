@@ -1,12 +1,12 @@
 """Driver queries on scalar functions and entities."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from opweave.functions import text as T
 from opweave.operators import sequences as S
 from opweave.plans.catalogue import query
-from opweave.plans.session_queries import ACTS, SEQ, acts
+from opweave.plans.session_queries import ACTS, SEQ, WS, _ENTS, _fold, acts
 from opweave.session import table
 
 _URL, _MAIL, _ID = T.TYPED[0][1], T.TYPED[1][1], T.ENTITY[0][1]
@@ -50,23 +50,21 @@ def entity_counts(spark, d):
     return e.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_distinct"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-@query("linkable_entities", f"WITH {ACTS}, x AS (SELECT activity_id, unnest(entities) AS e FROM acts) SELECT DISTINCT activity_id, e.type AS type, e.value AS value FROM x WHERE e.type NOT LIKE 'NUMBER%' AND (e.type <> 'URL' OR regexp_matches(e.value, '^[a-z]+://[^/]+/.+'))")
+@query("linkable_entities", f"WITH {ACTS}, x AS (SELECT activity_id, unnest({_ENTS}) AS e FROM acts) SELECT activity_id, split_part(e, chr(31), 1) AS type, split_part(e, chr(31), 2) AS value FROM x")
 def linkable_entities(spark, d):
-    """Entities that may link activities: no bare numbers, URLs only with a path."""
-    ok = lambda e: ~e["type"].startswith("NUMBER") & ((e["type"] != "URL") | e["value"].rlike("^[a-z]+://[^/]+/.+"))
-    return acts(spark, d).select("activity_id", F.explode(F.array_distinct(F.filter("entities", ok))).alias("e")).select("activity_id", "e.type", "e.value")
+    """Entities that may link activities: eight types of objects, and URLs with more than a host."""
+    e = acts(spark, d).select("activity_id", F.explode(T.linkable(F.col("entities"))).alias("e"))
+    return e.select("activity_id", F.split_part("e", F.lit("\x1f"), F.lit(1)).alias("type"), F.split_part("e", F.lit("\x1f"), F.lit(2)).alias("value"))
 
 
-@query("collapse_text", r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '[\s]+', ' ', 'g'))) AS h FROM documents WHERE regexp_full_match(text, '[ -~\n\r\t]*')")
+@query("collapse_text", f"SELECT doc_id, md5({_fold('text')}) AS h FROM documents")
 def collapse_text(spark, d):
-    t = F.col("text")
-    return _docs(spark, d).filter(t.rlike(r"\A[ -~\n\r\t]*\z")).select("doc_id", F.md5(T.collapse(t)).alias("h"))
+    return _docs(spark, d).select("doc_id", F.md5(T.collapse(F.col("text"))).alias("h"))
 
 
-@query("collapse_documents")
+@query("collapse_documents", f"SELECT doc_id, md5({_fold('text')}) AS h FROM documents")
 def collapse_documents(spark, d):
-    """All documents of any script; DuckDB has no Unicode white space, so the SQL of collapse_text holds only printable ASCII."""
-    return _docs(spark, d).select("doc_id", F.md5(T.collapse(F.col("text"))).alias("h"))
+    return collapse_text(spark, d)
 
 
 @query("nfkc_casefold")
@@ -98,13 +96,23 @@ def clip_and_shorten(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.clip(F.col("text"))).alias("clipped"), T.shorten(F.col("text"), 60).alias("short"))
 
 
-@query("text_evidence", f"""WITH {ACTS}, e AS (SELECT activity_id, concat_ws(' ', CASE WHEN "window" <> '' THEN 'window=' || "window" END, CASE WHEN browser_tab <> '' THEN 'tab=' || browser_tab END, CASE WHEN target_field <> '' THEN 'target=' || target_field END, CASE WHEN text <> '' THEN 'text=' || text END, CASE WHEN screen_text <> '' THEN 'screen=' || screen_text END) AS t FROM acts)
-SELECT activity_id, CASE WHEN len(t) > 420 THEN left(t, 417) || '...' ELSE t END AS evidence FROM e""")
+_TEXT_FIELDS = ("text", "screen_text", "window", "browser_tab", "target_field")
+
+
+def _clean_sql(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{WS}', ' ', 'g'))"
+
+
+def _clean(c: str) -> Column:
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+@query("text_evidence", f"""WITH {ACTS}, e AS (SELECT activity_id, {", ".join(_clean_sql(chr(34) + c + chr(34)) + f" AS f{i}" for i, c in enumerate(_TEXT_FIELDS))} FROM acts)
+SELECT activity_id, concat_ws(' ', {", ".join(f"CASE WHEN f{i} <> '' THEN '{c}=' || CASE WHEN len(f{i}) > 420 THEN left(f{i}, 417) || '...' ELSE f{i} END END" for i, c in enumerate(_TEXT_FIELDS))}) AS evidence FROM e""")
 def text_evidence(spark, d):
-    """key=value of the text fields that are not empty, at most 420 characters."""
-    part = lambda k, c: F.when(F.col(c) != "", F.concat(F.lit(f"{k}="), F.col(c)))
-    e = F.concat_ws(" ", part("window", "window"), part("tab", "browser_tab"), part("target", "target_field"), part("text", "text"), part("screen", "screen_text"))
-    return acts(spark, d).select("activity_id", T.shorten(e, 420).alias("evidence"))
+    """field=value of the text fields that are not empty, white space collapsed, each clipped to 420 characters by itself."""
+    parts = [F.when(_clean(c) != "", F.concat(F.lit(f"{c}="), T.shorten(_clean(c), 420))) for c in _TEXT_FIELDS]
+    return acts(spark, d).select("activity_id", F.concat_ws(" ", *parts).alias("evidence"))
 
 
 @query("stable_ids", "SELECT contract_id, upper(left(sha256(concat_ws('|', contract_id, partner_id, coalesce(title, ''))), 16)) AS id FROM contracts")
@@ -136,9 +144,9 @@ def events_display(spark, d):
 
 
 @query("timeline", f"""WITH {ACTS}, m AS (SELECT session_id, min(start_us) AS t0 FROM acts GROUP BY 1), x AS (SELECT *, (start_us - t0) // 1000000 AS s FROM acts JOIN m USING (session_id))
-SELECT activity_id, s::BIGINT AS rel_s, lpad((s // 3600)::VARCHAR, 2, '0') || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS elapsed FROM x WHERE s < 360000""")
+SELECT activity_id, s::BIGINT AS rel_s, CASE WHEN s >= 360000 THEN (s // 3600)::VARCHAR ELSE lpad((s // 3600)::VARCHAR, 2, '0') END || ':' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS elapsed FROM x WHERE s IS NOT NULL""")
 def timeline(spark, d):
-    """Relative seconds and elapsed text (hours of at least two digits) of each activity in its session; the SQL ends after 100 hours."""
+    """Relative seconds and elapsed text (hours of at least two digits) of each activity in its session."""
     a = acts(spark, d).select("session_id", "activity_id", "start_us")
     t0 = a.groupBy(F.col("session_id").alias("ts")).agg(F.min("start_us").alias("t0"))
     s = F.floor((F.col("start_us") - F.col("t0")) / 1_000_000).cast("long")

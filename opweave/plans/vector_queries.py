@@ -10,7 +10,7 @@ from opweave.plans.catalogue import query
 from opweave.plans.interval_queries import SEGS, _J
 from opweave.plans.session_queries import ACTS, SEQ, acts
 from opweave.plans.workflow_queries import _OWNED, owned, variants
-from opweave.session import table
+from opweave.session import cut, table
 
 _TFIDF = """tf AS (SELECT doc, term, count(*) AS tf FROM terms GROUP BY ALL), nd AS (SELECT count(DISTINCT doc) AS n FROM tf), dfq AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 wq AS (SELECT doc, tf.term, (1 + ln(tf)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN dfq USING (term), nd WHERE df >= 2 AND df <= {max_df} * n), nq AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM wq GROUP BY 1)"""
@@ -178,7 +178,9 @@ sc AS (SELECT score, x.seg = y.seg AS same FROM pr JOIN owned x ON pr.activity_i
 
 def scored_pairs(spark, d) -> DataFrame:
     """Consecutive activities that both have a segment: features, score by gap, and whether the segment is the same."""
-    p = S.pair_features(S.consecutive_pairs(acts(spark, d), "session_id", "start", "activity_id", ["start_us", "end_us", "app", "window", "type", "browser_tab", "target_field"]))
+    p = S.pair_features(S.consecutive_pairs(S.pair_columns(acts(spark, d)), "session_id", "start", "activity_id", S.PAIR_COLS))
+    gap = F.greatest((F.col("start_us") - F.coalesce("prev_end_us", "prev_start_us")) / 1e6, F.lit(0.0))
+    p = p.select("session_id", "activity_id", "prev_activity_id", gap.alias("gap_s"), *S.PAIR_FEATURES)
     o = owned(spark, d).select("activity_id", "seg")
     x = p.join(o.select(F.col("activity_id").alias("oa"), F.col("seg").alias("s1")), F.col("activity_id") == F.col("oa"))
     x = x.join(o.select(F.col("activity_id").alias("ob"), F.col("seg").alias("s2")), F.col("prev_activity_id") == F.col("ob"))
@@ -205,7 +207,7 @@ def threshold_grid(spark, d):
 
 def session_split(df: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
     """Adds held_out: whole sessions go to one side, by a seeded hash; exact copies of a session share a fingerprint and stay together."""
-    f = df.groupBy("session_id").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_set("type_pair")), F.count("*").cast("string"), F.round(F.sum("gap_s"), 3).cast("string")), 256).alias("print"))
+    f = df.groupBy("session_id").agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_set("activity_type_pair")), F.count("*").cast("string"), F.round(F.sum("gap_s"), 3).cast("string")), 256).alias("print"))
     f = f.select(F.col("session_id").alias("fs"), (F.pmod(F.xxhash64(F.lit(seed), "print"), F.lit(1000)) < share * 1000).alias("held_out"))
     return df.join(f, F.col("session_id") == F.col("fs")).drop("fs")
 
@@ -216,12 +218,11 @@ def boundary_model():
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 
-    num = ["log_gap", "log_duration_ratio"]
-    flags = ["same_app", "same_window", "same_type", "same_browser_tab", "same_target_field"]
+    num, flags = S.PAIR_FEATURES[:9], S.PAIR_FEATURES[9:17]
     return Pipeline(
         stages=[
             Imputer(strategy="median", inputCols=num, outputCols=[f"{c}_i" for c in num]), VectorAssembler(inputCols=[f"{c}_i" for c in num], outputCol="num"), StandardScaler(withMean=True, inputCol="num", outputCol="scaled"),
-            StringIndexer(inputCol="type_pair", outputCol="pair_i", handleInvalid="keep"), OneHotEncoder(inputCol="pair_i", outputCol="pair_v"),
+            StringIndexer(inputCol="activity_type_pair", outputCol="pair_i", handleInvalid="keep"), OneHotEncoder(inputCol="pair_i", outputCol="pair_v"),
             VectorAssembler(inputCols=["scaled", *flags, "pair_v"], outputCol="features"), LogisticRegression(labelCol="same", weightCol="weight", regParam=0.001, maxIter=100),
         ]
     )
@@ -232,7 +233,8 @@ def boundary_model_metrics(spark, d):
     """Fits on 80 % of the sessions, scores the rest."""
     from pyspark.ml.functions import vector_to_array
 
-    x = session_split(scored_pairs(spark, d)).withColumn("weight", F.lit(1.0)).persist()
+    x = session_split(scored_pairs(spark, d)).withColumn("weight", F.lit(1.0))
+    x = cut(x)  # read three times
     pos, n = x.filter("not held_out").agg(F.sum("same"), F.count("*")).first()
     if not n or not pos or pos == n:
         return spark.createDataFrame([], "n long, n_pos long, roc_auc double, average_precision double")
