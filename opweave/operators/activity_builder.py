@@ -11,7 +11,7 @@ from opweave.operators.text_engine import OCR_MS, Builder, normalize
 
 ACTIVITY = (
     "activity_id string, session_id string, start string, `end` string, type string, app string, window string, browser_tab string, browser_url string, target_field string, text string, screen_text string, "
-    "entities array<struct<type:string,value:string>>, source_event_ids array<string>, triggered_by array<string>, verification_status string, undo_used boolean, paste_content_unknown boolean, input_complete_count int"
+    "entities array<struct<type:string,value:string>>, source_event_ids array<string>, triggered_by array<string>, source_event_types array<string>, chunk_ids array<string>, browser_value string, screen_value string, input_complete_value string, verification_status string, undo_used boolean, paste_content_unknown boolean, input_complete_count int"
 )
 NAMES = [c.strip().split(" ")[0].strip("`") for c in ACTIVITY.replace("struct<type:string,value:string>", "struct").split(",")]
 QUIET_MS = 1_000  # no echo reaches across such a pause: events are normalised pause by pause
@@ -59,7 +59,8 @@ def build_activities(events: DataFrame) -> DataFrame:
 
     events: event_id, session_id, timestamp_ms, timestamp_iso, event_type and the JSON texts payload,
     context and correlation (null or empty: no fields).  Rows without id, session or time are left out.
-    Sessions stream through their task in order with constant state; none is collected."""
+    Sessions stream through their task in order; the state is the open run, a burst of events without a pause and
+    the activities a late screen text may still reach."""
     seq = F.coalesce(F.get_json_object("correlation", "$.sequence_number").cast("long"), F.lit(0))
     cols = ["event_id", "session_id", "timestamp_ms", "timestamp_iso", "event_type", "payload", "context", "correlation"]
     e = events.select(*cols).dropna(subset=["event_id", "session_id", "timestamp_ms"]).withColumn("__s", seq)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-# fixed values: thresholds in ms
+# fixed values: thresholds in ms, names of keys and of their combinations
 ECHO_MS, LOOSE_ECHO_MS, RUN_GAP_MS, OCR_MS, COPY_MS = 10, 50, 30_000, 2_500, 1_000
 ALIASES = {"return": "enter", "esc": "escape", "del": "delete", "arrowleft": "left", "arrowright": "right", "arrowup": "up", "arrowdown": "down", "spacebar": "space", "control": "ctrl"}
 PLAIN_KEYS = {"backspace": "BACKSPACE", "delete": "DELETE", "enter": "ENTER", "tab": "TAB", "escape": "ESCAPE", "left": "MOVE_LEFT", "right": "MOVE_RIGHT", "up": "MOVE_UP", "down": "MOVE_DOWN", "home": "MOVE_HOME", "end": "MOVE_END"}
@@ -192,21 +192,17 @@ class TextBuffer:
     undo_used: bool = False
     paste_unknown: bool = False
 
-    def _push(self) -> None:
-        self.undo.append((self.text, self.cursor, self.selection))
+    def _replace(self, a: int, b: int, new: str) -> str:
+        """One edit; the undo stack keeps what it changed, not the text."""
+        old = self.text[a:b]
+        self.undo.append((a, old, new, self.cursor, self.selection))
         self.redo.clear()
+        self.text = self.text[:a] + new + self.text[b:]
+        self.cursor, self.selection = a + len(new), None
+        return old
 
-    def _cut_selection(self) -> str | None:
-        if self.selection is None:
-            return None
-        a, b = sorted(self.selection)
-        gone, self.text, self.cursor, self.selection = self.text[a:b], self.text[:a] + self.text[b:], a, None
-        return gone
-
-    def _insert(self, s: str) -> None:
-        self._cut_selection()
-        self.text = self.text[: self.cursor] + s + self.text[self.cursor :]
-        self.cursor += len(s)
+    def _span(self) -> tuple[int, int]:
+        return tuple(sorted(self.selection)) if self.selection is not None else (self.cursor, self.cursor)
 
     def _word(self, step: int) -> int:
         i, n, t = self.cursor, len(self.text), self.text
@@ -221,15 +217,13 @@ class TextBuffer:
     def apply(self, kind: str, char: str = "", extend: bool = False, clipboard: str | None = None) -> str | None:
         """Applies one operation; returns the text that COPY or CUT took."""
         if kind == "INSERT":
-            self._push()
-            self._insert(char)
+            self._replace(*self._span(), char)
         elif kind in ("BACKSPACE", "DELETE", "DELETE_WORD_BACK"):
-            self._push()
-            if self._cut_selection() is None:
+            if self.selection is not None:
+                self._replace(*self._span(), "")
+            else:
                 a = self._word(-1) if kind == "DELETE_WORD_BACK" else self.cursor - (kind == "BACKSPACE")
-                b = self.cursor + (kind == "DELETE")
-                self.text = self.text[: max(a, 0)] + self.text[b:]
-                self.cursor = max(a, 0)
+                self._replace(max(a, 0), self.cursor + (kind == "DELETE"), "")
         elif kind.startswith("MOVE_"):
             to = {"LEFT": max(0, self.cursor - 1), "RIGHT": min(len(self.text), self.cursor + 1), "HOME": 0, "END": len(self.text)}.get(kind[5:], self.cursor)
             if kind.startswith("MOVE_WORD"):
@@ -243,31 +237,33 @@ class TextBuffer:
                 a, b = sorted(self.selection)
                 return self.text[a:b]
         elif kind == "CUT":
-            self._push()
-            return self._cut_selection() or ""
+            return self._replace(*self._span(), "")
         elif kind == "PASTE":
-            self._push()
             if clipboard is None:
                 self.paste_unknown = True
+                self.undo.append((self.cursor, "", "", self.cursor, self.selection))
+                self.redo.clear()
             else:
-                self._insert(clipboard)
+                self._replace(*self._span(), clipboard)
         elif kind in ("UNDO", "REDO"):
             take, give = (self.undo, self.redo) if kind == "UNDO" else (self.redo, self.undo)
             self.undo_used |= kind == "UNDO"
             if take:
-                give.append((self.text, self.cursor, self.selection))
-                self.text, self.cursor, self.selection = take.pop()
+                a, old, new, cursor, selection = take.pop()
+                give.append((a, new, old, self.cursor, self.selection))
+                self.text = self.text[:a] + old + self.text[a + len(new) :]
+                self.cursor, self.selection = cursor, selection
         return None
 
 
 def reconcile(text: str, complete: list[str], browser: list[str], targeted: list[str], screen: list[str]) -> str:
-    """Verification status: no evidence says nothing, any equal value confirms, otherwise it contradicts; screens can only confirm."""
+    """Verification status: no evidence says nothing, any equal value confirms, otherwise it contradicts; two that confirm reconcile; screens can only confirm."""
     match = lambda vs: None if not vs else any(v == text for v in vs)
     a, b, c = match(complete), match(browser), match(targeted)
     seen = bool(text) and any(text in s for s in screen)
     if False in (a, b, c):
         return "CONFLICT"
-    if sum(x is True for x in (a, b, c)) + seen >= 2:
+    if sum(x is True for x in (a, b, c)) >= 2:
         return "RECONCILED"
     return "VERIFIED_INPUT_COMPLETE" if a else "VERIFIED_BROWSER" if b else "VERIFIED_SCREEN" if c or seen else "RECONSTRUCTED"
 
@@ -338,7 +334,8 @@ class Builder:
             "activity_id": f"act_{self.session}_{self.n:06d}", "session_id": self.session, "start": first["timestamp_iso"], "end": last["timestamp_iso"], "start_ms": first["timestamp_ms"], "type": kind,
             "app": c("active_app", "app_name"), "window": c("active_app", "window_title"), "browser_tab": c("active_browser_tab", "title"), "browser_url": c("active_browser_tab", "url"),
             "target_field": json.dumps(f, ensure_ascii=False, sort_keys=True) if isinstance(f, dict) else f, "text": None, "screen_text": None, "entities": [], "source_event_ids": list(dict.fromkeys(ids)), "triggered_by": [],
-            "verification_status": None, "undo_used": False, "paste_content_unknown": False, "input_complete_count": 0,
+            "source_event_types": [first["event_type"]] if first is last else sorted({first["event_type"], last["event_type"]}), "chunk_ids": sorted({c for c in (get(first, "correlation", "chunk_id"), get(last, "correlation", "chunk_id")) if isinstance(c, str)}),
+            "browser_value": None, "screen_value": None, "input_complete_value": None, "verification_status": None, "undo_used": False, "paste_content_unknown": False, "input_complete_count": 0,
         }
         return a | more
 
@@ -347,11 +344,30 @@ class Builder:
         if r is None:
             return
         b: TextBuffer = r["buffer"]
-        status = reconcile(b.text, r["complete"], r["browser"], r["targeted"], r["screen"])
-        a = self._activity("TEXT_ENTRY", r["first"], r["last"], r["ids"], text=b.text, entities=text_entities(b.text), verification_status=status, undo_used=b.undo_used, paste_content_unknown=b.paste_unknown, input_complete_count=len(r["complete"]), screen_text=r["screen"][-1] if r["screen"] else None)
+        a = self._activity("TEXT_ENTRY", r["first"], r["last"], r["ids"], text=b.text, undo_used=b.undo_used, paste_content_unknown=b.paste_unknown, input_complete_count=len(r["complete"]), source_event_types=sorted(r["types"]), chunk_ids=sorted(r["chunks"]))
+        a |= self._evidence(b.text, r)
         self.recent = {"activity": a, "at": r["last"]["timestamp_ms"], "sig": r["sig"], "run": r}
         yield a
 
+    @staticmethod
+    def _evidence(text: str, r: dict) -> dict:
+        """What the evidence of a run says: status, last values, all screen texts, entities of text and screens."""
+        screen = " ".join(r["screen"])
+        last = lambda k: r[k][-1] if r[k] else None
+        return {
+            "verification_status": reconcile(text, r["complete"], r["browser"], r["targeted"], r["screen"]), "browser_value": last("browser"), "screen_value": last("targeted"), "input_complete_value": last("complete"),
+            "screen_text": screen or None, "entities": text_entities(f"{text}\n{screen}" if screen else text),
+        }
+
+    def _used(self, op: Op) -> None:
+        """The operation's events belong to the open run."""
+        r = self.run
+        r["ids"].extend(op.ids)
+        r["types"].add(op.event["event_type"])
+        chunk = get(op.event, "correlation", "chunk_id")
+        if isinstance(chunk, str):
+            r["chunks"].add(chunk)
+
     def feed(self, op: Op) -> Iterator[dict]:
         """Activities that this operation completes."""
         e, now = op.event, op.event["timestamp_ms"]
@@ -362,9 +378,10 @@ class Builder:
             if self.run is None:
                 if op.kind not in OPENING or op.kind == "PASTE" and self.clipboard is None:
                     return
-                self.run = {"buffer": TextBuffer(), "sig": sig, "first": e, "last": e, "ids": [], "complete": [], "browser": [], "targeted": [], "screen": []}
+                self.run = {"buffer": TextBuffer(), "sig": sig, "first": e, "last": e, "ids": [], "complete": [], "browser": [], "targeted": [], "screen": [], "types": set(), "chunks": set()}
             took = self.run["buffer"].apply(op.kind, op.char, op.extend, self.clipboard)
-            self.run["last"], self.run["ids"] = e, self.run["ids"] + op.ids
+            self.run["last"] = e
+            self._used(op)
             if took is not None:
                 self.last_copy = now
                 if self.clipboard is None:
@@ -372,7 +389,8 @@ class Builder:
             return
         if op.kind in ("ENTER", "TAB", "ESCAPE"):
             if self.run:
-                self.run["last"], self.run["ids"] = e, self.run["ids"] + op.ids
+                self.run["last"] = e
+                self._used(op)
                 yield from self._close()
         elif op.kind == "CLICK":
             yield from self._close()
@@ -414,7 +432,7 @@ class Builder:
             v = next((x for k in (("value",) if op.kind == "BROWSER_VALUE" else ("final_text", "value")) if isinstance(x := get(e, "payload", k), str)), None)
             if self.run and v is not None:
                 self.run["browser" if op.kind == "BROWSER_VALUE" else "complete"].append(v)
-                self.run["ids"] = self.run["ids"] + op.ids
+                self._used(op)
         elif op.kind == "SHORTCUT":
             yield from self._close()
             if op.label:
@@ -424,19 +442,25 @@ class Builder:
             if t and self.run:
                 self.run["screen"].append(t)
                 self.run["targeted"] += [f for f in (_field_text(e),) if f]
-                self.run["ids"] = self.run["ids"] + op.ids
+                self._used(op)
             elif t:
                 self._late_screen(e, now)
 
     def _late_screen(self, e: dict, now: int) -> None:
-        """A screen text soon after a run closed still counts for it, on the same application and window."""
+        """A screen text soon after a run closed still counts for it, on the same application, window and field."""
         r, t = self.recent, _screen_text(e)
-        if r and t and now - r["at"] <= OCR_MS and signature(e)[:2] == r["sig"][:2]:
-            run, a = r["run"], r["activity"]
-            run["screen"].append(t)
-            run["targeted"] += [f for f in (_field_text(e),) if f]
-            a["screen_text"], a["verification_status"] = t, reconcile(a["text"], run["complete"], run["browser"], run["targeted"], run["screen"])
-            a["source_event_ids"] = list(dict.fromkeys([*a["source_event_ids"], e["event_id"]]))
+        if not r or not t or not 0 <= now - r["at"] <= OCR_MS:
+            return
+        sig, own = signature(e), r["sig"]
+        if any(x and y and x != y for x, y in zip(sig[:2], own[:2])):
+            return
+        if any(sig[2]) and any(own[2]) and sig[2] != own[2]:
+            return
+        run, a = r["run"], r["activity"]
+        run["screen"].append(t)
+        run["targeted"] += [f for f in (_field_text(e),) if f]
+        a |= self._evidence(a["text"], run)
+        a["source_event_ids"] = list(dict.fromkeys([*a["source_event_ids"], e["event_id"]]))
 
     def _close_dialog(self, e: dict) -> Iterator[dict]:
         d, self.dialog = self.dialog, None

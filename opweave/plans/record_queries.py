@@ -4,8 +4,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opweave.plans.catalogue import query
-from opweave.session import table
-from opweave.sources.raw_records import good_records, parse_records
+from opweave.plans.records import _BARE, _NUM, _P4_SQL
+from opweave.session import cut, table
+from opweave.sources.raw_records import FIELDS, NUMERIC, good_records, parse_records
 
 
 @query("partner_search", """SELECT partner_id, display_name FROM partners WHERE contains(lower(display_name), 'tools') OR contains(lower(legal_name), 'tools') ORDER BY partner_id LIMIT 20""")
@@ -118,6 +119,71 @@ def record_issue_counts(spark, d):
     return r.groupBy(F.coalesce("r", F.lit("-")).alias("reason")).agg(F.count("*").alias("n"))
 
 
+# the good records in SQL: the same fields and checks as problem 4, each (source_file, source_row) once
+_FIELD = lambda i: f"""replace(trim({_BARE.format(c=f'f[{i}]')}), '""', '"')"""
+_YES = "('true', 't', 'yes', 'y', '1')"
+_cents = lambda x: f"floor(({x}) * 100 + 0.5) / 100"
+_GOOD = (
+    _P4_SQL[: _P4_SQL.index("SELECT source_file, source_row, 'quoting'")].rstrip()
+    + f""", g AS (SELECT source_file, source_row, x AS quantity, y AS unit_amount, strftime(day, '%Y-%m') AS month, {", ".join(f"{_FIELD(i + 1)} AS {n}" for i, n in enumerate(FIELDS) if n not in ("quantity", "unit_amount", "expense_date", *NUMERIC))},
+ {", ".join(f"coalesce(CASE WHEN regexp_full_match({_FIELD(FIELDS.index(n) + 1)}, '{_NUM}') THEN try_cast({_FIELD(FIELDS.index(n) + 1)} AS DOUBLE) END, {d})" + f" AS {n}" for n, d in (("fx_rate_to_reporting", 1), ("tax_rate", 0), ("discount_rate", 0)))}
+ FROM n WHERE quoted AND len(f) = 17 AND x > 0 AND isfinite(x) AND y >= 0 AND isfinite(y) AND day IS NOT NULL),
+m AS (SELECT *, lower(reimbursable) IN {_YES} AS paid, lower(receipt_available) IN {_YES} AS receipt, {_cents("quantity * unit_amount")} AS subtotal FROM g), d2 AS (SELECT *, {_cents("subtotal * discount_rate")} AS discount FROM m),
+c AS (SELECT *, {_cents("(subtotal - discount) * tax_rate")} AS tax FROM d2), l AS (SELECT *, {_cents("subtotal - discount + tax")} AS amount, {_cents("(subtotal - discount + tax) * fx_rate_to_reporting")} AS reporting FROM c)"""
+)
+
+
+def record_lines(spark, d) -> DataFrame:
+    """Good records with their calculated amounts; a missing rate of exchange is 1, other missing rates are 0."""
+    yes = lambda c: F.lower(F.trim(c)).isin("true", "t", "yes", "y", "1")
+    g = good_records(table(spark, d, "expense_records")).fillna({"fx_rate_to_reporting": 1.0, "tax_rate": 0.0, "discount_rate": 0.0})
+    cents = lambda x: F.floor(x * 100 + 0.5) / 100
+    g = g.withColumns({"paid": yes("reimbursable"), "receipt": yes("receipt_available"), "month": F.date_format("expense_date", "yyyy-MM"), "subtotal": cents(F.col("quantity") * F.col("unit_amount"))})
+    g = g.withColumn("discount", cents(F.col("subtotal") * F.col("discount_rate")))
+    g = g.withColumn("tax", cents((F.col("subtotal") - F.col("discount")) * F.col("tax_rate")))
+    gross = F.col("subtotal") - F.col("discount") + F.col("tax")
+    return g.withColumn("amount", cents(gross)).withColumn("reporting", cents(gross * F.col("fx_rate_to_reporting")))
+
+
+_CALC = ("subtotal", "discount", "tax")
+
+
+@query("record_metrics", f"""{_GOOD}, i AS (SELECT expense_id, count(*) AS k FROM l GROUP BY 1), p AS (SELECT count(*) AS k FROM l GROUP BY employee_ref, month, merchant, amount, currency)
+SELECT count(*) AS valid_rows, (SELECT count(*) FROM r) AS input_rows, (SELECT count(*) FROM r) - count(*) AS error_rows, count(DISTINCT expense_id) AS unique_expense_ids, (SELECT count(*) FROM i WHERE k > 1) AS duplicate_expense_ids, count(DISTINCT employee_ref) AS unique_employees, count(DISTINCT department) AS unique_departments, count(DISTINCT project_code) AS unique_projects, count(DISTINCT merchant) AS unique_merchants,
+ {", ".join(f"round(sum({c} * fx_rate_to_reporting), 1) AS {c}_reporting" for c in _CALC)}, round(sum(reporting), 2) AS total_expense_reporting, round(sum(reporting) FILTER (paid), 2) AS reimbursable_expense_reporting, round(sum(reporting) FILTER (NOT paid), 2) AS non_reimbursable_expense_reporting,
+ round(avg(reporting), 2) AS average_transaction_reporting, round(median(reporting), 2) AS median_transaction_reporting, min(reporting) AS min_transaction_reporting, max(reporting) AS max_transaction_reporting, count(*) FILTER (NOT receipt) AS receipt_missing_count, round(avg(receipt::INT), 4) AS receipt_coverage, (SELECT sum(k) FILTER (k > 1)::BIGINT FROM p) AS potential_duplicate_count FROM l""")
+def record_metrics(spark, d):
+    """Metrics of the parsed records in one row: counts, distinct counts, totals in the reporting currency, repeats."""
+    l = cut(record_lines(spark, d))
+    raw = table(spark, d, "expense_records").select("source_file", "source_row").distinct().agg(F.count("*").alias("input_rows"))
+    repeats = l.groupBy("expense_id").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") > 1).alias("duplicate_expense_ids"))
+    alike = l.groupBy("employee_ref", "month", "merchant", "amount", "currency").agg(F.count("*").alias("k")).agg(F.sum(F.when(F.col("k") > 1, F.col("k"))).alias("potential_duplicate_count"))
+    r = F.col("reporting")
+    m = l.agg(
+        F.count("*").alias("valid_rows"), *[F.count_distinct(c).alias(f"unique_{n}") for c, n in (("expense_id", "expense_ids"), ("employee_ref", "employees"), ("department", "departments"), ("project_code", "projects"), ("merchant", "merchants"))],
+        *[F.round(F.sum(F.col(c) * F.col("fx_rate_to_reporting")), 1).alias(f"{c}_reporting") for c in _CALC], F.round(F.sum(r), 2).alias("total_expense_reporting"),
+        F.round(F.sum(F.when(F.col("paid"), r)), 2).alias("reimbursable_expense_reporting"), F.round(F.sum(F.when(~F.col("paid"), r)), 2).alias("non_reimbursable_expense_reporting"), F.round(F.avg(r), 2).alias("average_transaction_reporting"), F.round(F.median(r), 2).alias("median_transaction_reporting"),
+        F.min(r).alias("min_transaction_reporting"), F.max(r).alias("max_transaction_reporting"), F.count_if(~F.col("receipt")).alias("receipt_missing_count"), F.round(F.avg(F.col("receipt").cast("int")), 4).alias("receipt_coverage"),
+    )
+    out = m.crossJoin(F.broadcast(raw)).crossJoin(F.broadcast(repeats)).crossJoin(F.broadcast(alike))  # one row each
+    return out.withColumn("error_rows", F.col("input_rows") - F.col("valid_rows"))
+
+
+_DIMENSIONS = {"by_employee": "employee_ref", "by_department": "department", "by_category": "category", "by_project": "project_code", "by_merchant": "merchant", "by_payment_method": "payment_method", "by_currency": "currency", "by_month": "month"}
+
+
+@query("record_groups", f"""{_GOOD}, us AS ({" UNION ALL ".join(f"SELECT '{k}' AS dimension, {c} AS key, amount, reporting FROM l" for k, c in _DIMENSIONS.items())}),
+qs AS (SELECT dimension, key, count(*) AS n, round(sum(reporting), 2) AS reporting_total, CASE WHEN dimension = 'by_currency' THEN round(sum(amount), 2) END AS local_total FROM us GROUP BY 1, 2),
+ks AS (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY reporting_total DESC, key) AS rank FROM qs) SELECT * FROM ks WHERE rank <= 100 OR dimension NOT IN ('by_employee', 'by_project', 'by_merchant')""")
+def record_groups(spark, d):
+    """Totals by each of eight keys in one pass; the top 100 employees, projects and merchants."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(c).alias("key")) for k, c in _DIMENSIONS.items()])
+    u = record_lines(spark, d).select("amount", "reporting", F.explode(pairs).alias("p")).groupBy("p.dimension", "p.key").agg(F.count("*").alias("n"), F.round(F.sum("reporting"), 2).alias("reporting_total"), F.round(F.sum("amount"), 2).alias("local"))
+    u = u.select("dimension", "key", "n", "reporting_total", F.when(F.col("dimension") == "by_currency", F.col("local")).alias("local_total"))
+    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("reporting_total"), "key")).cast("long")  # grouped rows only
+    return u.withColumn("rank", rank).filter("rank <= 100 or dimension not in ('by_employee', 'by_project', 'by_merchant')")
+
+
 @query("record_totals")
 def record_totals(spark, d):
     """Good records by currency: repeated expense ids once (the first source row)."""

@@ -7,8 +7,9 @@ from opweave.operators import intervals as I, sequences as S
 from opweave.plans.catalogue import query
 from opweave.plans.interval_queries import PRED, SEGS, _J, act_seg, preds, pred_gt, segs
 from opweave.plans.session_queries import ACTS, SEQ, acts, scored_edges, _CAND
-from opweave.session import micros, table
+from opweave.session import cut, micros, table
 
+# fixed value: the form of a session id
 ACTOR = r"^ses_(\d{8}-\d{6})-(.+)$"
 _OWNED = f"""{_J}, owned AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY CASE WHEN point THEN (b_e = a_s)::BIGINT ELSE ov END DESC, seg) AS rn FROM j WHERE point OR ov > 0) WHERE rn = 1)"""
 
@@ -52,18 +53,21 @@ _VAR = f"""sig AS (SELECT session_id, seg, any_value(label) AS label, string_agg
 
 
 def variants(spark, d):
-    o = owned(spark, d).groupBy("session_id", "seg").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("start", "activity_id", "type"))).alias("x"))
+    return _variants(owned(spark, d))
+
+
+def _variants(o: DataFrame) -> DataFrame:
+    """Step types of each execution, in order."""
+    o = o.groupBy("session_id", "seg").agg(F.min("label").alias("label"), F.array_sort(F.collect_list(F.struct("start", "activity_id", "type"))).alias("x"))
     return o.select("session_id", "seg", "label", F.col("x.type").alias("types"))
 
 
 def compressed(types: Column) -> Column:
     """Runs of equal steps as 'A x3 > B'."""
-    runs = F.aggregate(
-        types, F.array().cast("array<struct<t:string,n:int>>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["t"] == x), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(x.alias("t"), (F.element_at(acc, -1)["n"] + 1).alias("n"))))
-        ).otherwise(F.concat(acc, F.array(F.struct(x.alias("t"), F.lit(1).alias("n"))))),
-    )
+    n = F.size(types)
+    at = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & ((i == 1) | ~F.element_at(types, F.greatest(i - 1, F.lit(1))).eqNullSafe(F.element_at(types, i))))
+    ends = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array((n + 1).cast("int")))
+    runs = F.zip_with(at, ends, lambda a, b: F.struct(F.element_at(types, a).alias("t"), (b - a).alias("n")))
     return F.array_join(F.transform(runs, lambda r: F.when(r["n"] > 1, F.concat(r["t"], F.lit("x"), r["n"].cast("string"))).otherwise(r["t"])), " > ")
 
 
@@ -80,25 +84,33 @@ def compressed_variants(spark, d):
     return variants(spark, d).select("session_id", "seg", compressed(F.col("types")).alias("compressed"))
 
 
-@query("workflow_summary", f"""WITH {ACTS}, {SEGS}, {_OWNED}, {_VAR}, dv AS (SELECT label, max(n) AS top, sum(n) AS total FROM (SELECT label, variant, count(*) AS n FROM sig GROUP BY ALL) GROUP BY 1),
-w AS (SELECT label, count(*) AS n_executions, count(DISTINCT session_id) AS n_sessions, count(DISTINCT coalesce(nullif(regexp_extract(session_id, '^ses_(\\d{{8}}-\\d{{6}})-(.+)$', 2), ''), session_id)) AS n_actors, sum(e - s)::BIGINT AS total_ms, quantile_disc(e - s, 0.5) AS median_ms FROM segs GROUP BY 1)
-SELECT label, n_executions, n_sessions, n_actors, total_ms, median_ms, round(total_ms / n_executions, 3) AS mean_ms, round(total_ms / sum(total_ms) OVER (), 6) AS share, round(ln(1 + n_executions) * ln(1 + total_ms / 1000), 6) AS score, round(top / total, 6) AS dominant_share,
- row_number() OVER (ORDER BY n_executions DESC, total_ms DESC, label) AS rank FROM w LEFT JOIN dv USING (label)""")
+@query("workflow_summary", f"""WITH {ACTS}, {SEGS}, {_OWNED}, {_VAR}, dv AS (SELECT label, max(n) AS top, count(*) AS k FROM (SELECT label, variant, count(*) AS n FROM sig GROUP BY ALL) GROUP BY 1),
+ac AS (SELECT label, count(*) AS n, count(DISTINCT app) AS apps FROM owned GROUP BY 1),
+w AS (SELECT label, count(*) AS execution_count, count(DISTINCT session_id) AS session_count, count(DISTINCT coalesce(nullif(regexp_extract(session_id, '^ses_(\\d{{8}}-\\d{{6}})-(.+)$', 2), ''), session_id)) AS actor_count, sum(e - s)::BIGINT AS total_ms, quantile_disc(e - s, 0.5) AS median_ms FROM segs GROUP BY 1),
+x AS (SELECT label, execution_count, session_count, actor_count, total_ms, median_ms, round(total_ms / execution_count, 3) AS mean_ms, round(total_ms / sum(total_ms) OVER (), 6) AS duration_share, coalesce(ac.n, 0) AS total_activity_count, round(coalesce(ac.n, 0) / execution_count, 2) AS mean_activity_count, coalesce(apps, 0) AS unique_apps,
+ coalesce(k, 0) AS unique_variants, coalesce(top, 0) AS dominant_variant_count, round(coalesce(top, 0) / execution_count, 6) AS dominant_variant_share, round(ln(1 + execution_count), 4) AS screening_volume_score, round(ln(1 + total_ms / 1000), 4) AS screening_time_score, round(coalesce(top, 0) / execution_count, 4) AS screening_repeatability_score
+ FROM w LEFT JOIN dv USING (label) LEFT JOIN ac USING (label)) SELECT *, row_number() OVER (ORDER BY execution_count DESC, total_ms DESC, dominant_variant_share DESC, label) AS rank FROM x""")
 def workflow_summary(spark, d):
+    """One row for each workflow: executions, time, activities, variants and the three screening scores, in the order of the four keys."""
     s = segs(spark, d).withColumn("ms", F.col("e") - F.col("s"))
     w = s.groupBy("label").agg(
-        F.count("*").alias("n_executions"), F.count_distinct("session_id").alias("n_sessions"), F.count_distinct(actor(F.col("session_id"))).alias("n_actors"),
+        F.count("*").alias("execution_count"), F.count_distinct("session_id").alias("session_count"), F.count_distinct(actor(F.col("session_id"))).alias("actor_count"),
         F.sum("ms").alias("total_ms"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY ms)").cast("long").alias("median_ms"),
     )
-    v = variants(spark, d).groupBy("label", F.array_join("types", " > ").alias("v")).agg(F.count("*").alias("n"))
-    v = v.groupBy(F.col("label").alias("vl")).agg((F.max("n") / F.sum("n")).alias("dom"))
-    x = w.join(v, F.col("label") == F.col("vl"), "left")
+    o = cut(owned(spark, d).select("session_id", "seg", "label", "app", "type", "start", "activity_id"))
+    v = _variants(o).groupBy("label", F.array_join("types", " > ").alias("v")).agg(F.count("*").alias("n"))
+    v = v.groupBy(F.col("label").alias("vl")).agg(F.max("n").alias("top"), F.count("*").alias("k"))
+    a = o.groupBy(F.col("label").alias("al")).agg(F.count("*").alias("acts"), F.count_distinct("app").alias("apps"))
+    x = w.join(v, F.col("label") == F.col("vl"), "left").join(a, F.col("label") == F.col("al"), "left").fillna(0, ["top", "k", "acts", "apps"])
+    n = F.col("execution_count")
     # one row per workflow label: the windows below hold label rows, not executions
     total = F.sum("total_ms").over(Window.partitionBy())
-    return x.select(
-        "label", "n_executions", "n_sessions", "n_actors", "total_ms", "median_ms", F.round(F.col("total_ms") / F.col("n_executions"), 3).alias("mean_ms"), F.round(F.col("total_ms") / total, 6).alias("share"),
-        F.round(F.log1p("n_executions") * F.log1p(F.col("total_ms") / 1000), 6).alias("score"), F.round("dom", 6).alias("dominant_share"), F.row_number().over(Window.orderBy(F.desc("n_executions"), F.desc("total_ms"), "label")).cast("long").alias("rank"),
+    x = x.select(
+        "label", "execution_count", "session_count", "actor_count", "total_ms", "median_ms", F.round(F.col("total_ms") / n, 3).alias("mean_ms"), F.round(F.col("total_ms") / total, 6).alias("duration_share"),
+        F.col("acts").alias("total_activity_count"), F.round(F.col("acts") / n, 2).alias("mean_activity_count"), F.col("apps").alias("unique_apps"), F.col("k").alias("unique_variants"), F.col("top").alias("dominant_variant_count"), F.round(F.col("top") / n, 6).alias("dominant_variant_share"),
+        F.round(F.log1p(n), 4).alias("screening_volume_score"), F.round(F.log1p(F.col("total_ms") / 1000), 4).alias("screening_time_score"), F.round(F.col("top") / n, 4).alias("screening_repeatability_score"),
     )
+    return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("execution_count"), F.desc("total_ms"), F.desc("dominant_variant_share"), "label")).cast("long"))
 
 
 @query("top_evidence", f"""WITH {ACTS}, {SEGS}, {_OWNED}, c AS (SELECT label, app, count(*) AS n, min((start, activity_id)) AS first FROM owned WHERE app IS NOT NULL GROUP BY 1, 2),
@@ -146,8 +158,8 @@ def contingency(spark, d) -> DataFrame:
 
 def pair_counts(ct: DataFrame, by: list[str]) -> DataFrame:
     """tp, pred_pairs, gt_pairs per ``by`` from a contingency table read once, never materialising pairs."""
-    none = F.lit(None).cast("long")
-    sets = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("p"), g.alias("g")) for k, p, g in (("tp", F.col("p"), F.col("g")), ("pred_pairs", F.col("p"), none), ("gt_pairs", none, F.col("g")))])
+    none = F.lit(None).cast("string")
+    sets = F.array(*[F.struct(F.lit(k).alias("kind"), p.alias("p"), g.alias("g")) for k, p, g in (("tp", F.col("p").cast("string"), F.col("g").cast("string")), ("pred_pairs", F.col("p").cast("string"), none), ("gt_pairs", none, F.col("g").cast("string")))])
     m = ct.select("session_id", "n", F.explode(sets).alias("s")).groupBy("session_id", "s.kind", "s.p", "s.g").agg(F.sum("n").alias("m"))
     c2 = (F.col("m") * (F.col("m") - 1) / 2).cast("long")
     return m.groupBy(*by).agg(*[F.sum(F.when(F.col("kind") == k, c2)).alias(k) for k in ("tp", "pred_pairs", "gt_pairs")])

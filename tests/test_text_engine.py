@@ -82,7 +82,7 @@ def test_evidence():
     base = keys("a@b.example")
     assert build([*base, ev(50, 50, "browser_form_input", payload={"value": "a@b.example"})], "s")[0]["verification_status"] == "VERIFIED_BROWSER"
     assert build([*base, ev(50, 50, "screenshot_smart", screen="Mail a@b.example ok")], "s")[0]["verification_status"] == "VERIFIED_SCREEN"
-    for text, status in (("a@b.example", "RECONCILED"), ("other", "CONFLICT")):
+    for text, status in (("a@b.example", "VERIFIED_SCREEN"), ("other", "CONFLICT")):
         assert build([*base, ev(50, 50, "screenshot_smart", screen={"text": text, "source": "field_value"})], "s")[0]["verification_status"] == status
     assert build([*base, ev(50, 50, "screenshot_smart", screen={"text": "a page\na@b.example", "source": "text_pattern"})], "s")[0]["verification_status"] == "VERIFIED_SCREEN"
     late = build([*base, ev(49, 49, key="Enter"), ev(900, 900, "screenshot_smart", screen="see a@b.example")], "s")
@@ -137,3 +137,37 @@ def test_listed_keystrokes_swallow_their_echo():
     e = [ev(0, 0, key="a", char="a"), ev(1, 4, key="a", char="a"), ev(2, 30, key="b", char="b"), ev(3, 500, "text_input_complete", payload={"related_keystrokes": ["e0", "e2"], "final_text": "ab"})]
     got = build(e, "s")
     assert [a["text"] for a in got] == ["ab"] and got[0]["verification_status"] == "VERIFIED_INPUT_COMPLETE"
+
+
+def test_reconciled_needs_two_values():
+    """Screens that merely show the text never count towards RECONCILED."""
+    assert reconcile("x", [], ["x"], [], ["see x"]) == "VERIFIED_BROWSER"
+    assert reconcile("x", ["x"], [], [], ["see x"]) == "VERIFIED_INPUT_COMPLETE"
+    assert reconcile("x", [], ["x"], ["x"], []) == "RECONCILED"
+
+
+def test_late_evidence():
+    base = [*keys("inv"), ev(49, 49, key="Enter")]
+    late = build([*base, ev(900, 900, "screenshot_smart", screen="see inv"), ev(950, 950, "screenshot_smart", screen="a@b.example")], "s")[0]
+    assert late["screen_text"] == "see inv a@b.example" and {"type": "EMAIL", "value": "a@b.example"} in late["entities"]
+
+
+def test_undo_stack_is_linear():
+    from opweave.operators.text_engine import TextBuffer
+
+    b = TextBuffer()
+    for i in range(6_000):
+        b.apply("INSERT", "ab"[i % 2])
+    assert sum(len(old) + len(new) for _, old, new, *_ in b.undo) == 6_000
+    whole = b.text
+    b.apply("SELECT_ALL")
+    b.apply("CUT")
+    assert b.text == ""
+    b.apply("UNDO")
+    assert b.text == whole and b.selection == (0, 6_000)
+    for _ in range(10):
+        b.apply("UNDO")
+    assert b.text == whole[:-10]
+    for _ in range(11):
+        b.apply("REDO")
+    assert b.text == ""
