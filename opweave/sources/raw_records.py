@@ -15,7 +15,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 # fixed values: the fields of an expense record
 FIELDS = (
@@ -57,7 +57,7 @@ _ISO = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})[Tt ]([0-9]{2}):([0-9]{2})(?
 def parse_number(text: str) -> float | None:
     """ASCII decimal with optional sign and exponent, finite; else None."""
     text = text.strip()
-    if not NUMBER.match(text):
+    if not (text.isdigit() and text.isascii()) and not NUMBER.match(text):
         return None
     x = float(text)
     return x if x not in (float("inf"), float("-inf")) else None
@@ -189,6 +189,48 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([x if isinstance(x := cols[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
 
+def _check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Only the errors: of a record's fields none but the three checked ones is decoded."""
+    kind = pa.struct([("reason", pa.string()), ("byte_offset", pa.int64())])
+    q_at, u_at, d_at = (FIELDS.index(f) for f in ("quantity", "unit_amount", "expense_date"))
+    dates: dict[str, bool] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        raw = [(x or "").encode() for x in b.column("raw_line").to_pylist()]
+        ends, broken = tokenize(raw)
+        rows: list[int] = []
+        errors: list[list[dict]] = []
+        for i, r in enumerate(raw):
+            bad = []
+            cuts = ends[i]
+            if broken[i] >= 0:
+                bad = [("quoting", int(broken[i]))]
+            elif len(cuts) != len(FIELDS) - 1:
+                bad = [("column_count", int(cuts[len(FIELDS) - 1]) if len(cuts) >= len(FIELDS) else len(r))]
+            else:
+                begin = cuts.tolist()
+                field = lambda k: r[begin[k - 1] + 1 if k else 0 : begin[k] if k < len(begin) else len(r)]
+                q, u = parse_number(_value(field(q_at))), parse_number(_value(field(u_at)))
+                if q is None or q <= 0:
+                    bad.append(("quantity", begin[q_at - 1] + 1))
+                if u is None or u < 0:
+                    bad.append(("unit_amount", begin[u_at - 1] + 1))
+                day = _value(field(d_at))
+                ok = dates.get(day)
+                if ok is None:
+                    if len(dates) > 50_000:
+                        dates.clear()
+                    ok = dates[day] = parse_date(day) is not None
+                if not ok:
+                    bad.append(("expense_date", begin[d_at - 1] + 1))
+            if bad:
+                rows.append(i)
+                errors.append([{"reason": x, "byte_offset": o} for x, o in bad])
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("source_file").take(at), b.column("source_row").cast(pa.int32()).take(at), pa.array(errors, pa.list_(kind))], names=["source_file", "source_row", "errors"])
+
+
 def parse_records(df: DataFrame) -> DataFrame:
     """Every record with its typed fields and ``errors`` (reason, byte offset in the record).
 
@@ -200,15 +242,15 @@ def parse_records(df: DataFrame) -> DataFrame:
 
 
 def good_records(df: DataFrame) -> DataFrame:
-    """The valid rows, typed; a redelivered (source_file, source_row) comes once."""
-    return parse_records(df).filter("size(errors) = 0").drop("errors", "raw_line").dropDuplicates(["source_file", "source_row"])
+    """The valid rows, typed; a redelivered (source_file, source_row) comes once, of differing deliveries the least by its fields."""
+    g = parse_records(df).filter("size(errors) = 0").drop("errors", "raw_line")
+    rest = [c for c in g.columns if c not in ("source_file", "source_row")]
+    return g.groupBy("source_file", "source_row").agg(F.min(F.struct(*rest)).alias("x")).select("source_file", "source_row", "x.*")
 
 
 def bad_records(df: DataFrame) -> DataFrame:
-    """(source_file, source_row, reason, byte_offset): one row for each reason of each bad record."""
-    return (
-        parse_records(df)
-        .filter("size(errors) > 0")
-        .selectExpr("source_file", "source_row", "inline(errors)")
-        .dropDuplicates(["source_file", "source_row", "reason"])
-    )
+    """(source_file, source_row, reason, byte_offset): one row for each reason of each bad record, of repeats the least offset.
+
+    Each delivery of a record is judged by itself."""
+    bad = df.select("source_file", "source_row", "raw_line").mapInArrow(_check, "source_file string, source_row int, errors array<struct<reason:string,byte_offset:bigint>>")
+    return bad.selectExpr("source_file", "source_row", "inline(errors)").groupBy("source_file", "source_row", "reason").agg(F.min("byte_offset").alias("byte_offset"))
