@@ -2,21 +2,38 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 
-def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per non-blank line: path, line, obj (struct or null) and error ('invalid_json', 'not_an_object', null).
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line_no, line): every line with its 1-based number in its file.
 
-    A bad line never fails the load."""
-    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    Lines are counted split by split, and a split's first line follows the counts of the file's earlier
+    splits, so that a file of any size is numbered without one task reading it."""
+    t = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    x = t.withColumn("k", F.row_number().over(Window.partitionBy("path", "split").orderBy("id")))
+    n = t.groupBy("path", "split").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    n = n.select(F.col("path").alias("np"), F.col("split").alias("ns"), before.alias("before"))
+    x = x.join(n, (F.col("path") == F.col("np")) & (F.col("split") == F.col("ns")))
+    return x.select("path", (F.col("before") + F.col("k")).alias("line_no"), "line")
+
+
+def read_jsonl_lenient(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:
+    """One row per non-blank line: path, line, obj (struct or null) and error ('invalid_json', 'not_an_object', null); line_no if ``numbered``.
+
+    A bad line never fails the load.  Numbering costs a shuffle of the lines."""
+    t = numbered_lines(spark, path) if numbered else spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
+    t = t.filter(F.trim("line") != "")
     v = F.try_parse_json("line")
     kind = F.schema_of_variant(v)
     err = F.when(v.isNull(), "invalid_json").when(~F.startswith(kind, F.lit("OBJECT")), "not_an_object")
@@ -24,15 +41,40 @@ def read_jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame
 
 
 def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Fails on the first bad line."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """The objects of all lines; a bad line raises an error that names its file and number."""
+    x = read_jsonl_lenient(spark, path, schema)
+    if x.filter("error is not null").limit(1).count():
+        bad = read_jsonl_lenient(spark, path, schema, numbered=True).filter("error is not null")
+        r = bad.agg(F.min(F.struct("path", "line_no", "error")).alias("r")).first()["r"]
+        raise ValueError(f"{r['path']}, line {r['line_no']}: {r['error']}")
+    return x.select("obj.*")
 
 
 def read_sessions(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Events of <root>/ses_*/chunk_*/events.jsonl with session_dir and chunk_dir from the path."""
+    """Events of <root>/ses_*/chunk_*/events.jsonl with session_dir and chunk_dir from the path.
+
+    Where the schema has correlation, chunk_id is the one it states, else the folder's name, and sequence_number
+    is 0 where missing.  Bad lines are left to ``bad_lines``; ``event_order`` gives the total order."""
     e = read_jsonl_lenient(spark, f"{root}/ses_*/chunk_*/events.jsonl", schema).filter("error is null")
     part = lambda p: F.regexp_extract("path", rf"/({p}_[^/]*)/", 1)
-    return e.select(part("ses").alias("session_dir"), part("chunk").alias("chunk_dir"), "obj.*")
+    e = e.select(part("ses").alias("session_dir"), part("chunk").alias("chunk_dir"), "obj.*")
+    if "correlation" not in e.columns:
+        return e
+    held = set(e.schema["correlation"].dataType.names)
+    if "chunk_id" in held:
+        e = e.withColumn("chunk_id", F.coalesce(F.nullif("correlation.chunk_id", F.lit("")), "chunk_dir"))
+    return e.withColumn("sequence_number", F.coalesce("correlation.sequence_number", F.lit(0))) if "sequence_number" in held else e
+
+
+def event_order(events: DataFrame) -> list[str]:
+    """Columns of the total order of events that the table has: time, sequence number, id."""
+    return [c for c in ("timestamp_ms", "sequence_number", "event_id") if c in events.columns]
+
+
+def bad_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(session_dir, error, n): the lines of a session that are no JSON objects."""
+    x = read_jsonl_lenient(spark, f"{root}/ses_*/chunk_*/events.jsonl", "event_id string").filter("error is not null")
+    return x.groupBy(F.regexp_extract("path", "/(ses_[^/]*)/", 1).alias("session_dir"), "error").agg(F.count("*").alias("n"))
 
 
 def first_events(events: DataFrame, order: list[str], n: int) -> DataFrame:
@@ -40,23 +82,36 @@ def first_events(events: DataFrame, order: list[str], n: int) -> DataFrame:
     return events.orderBy(*order).limit(n)
 
 
+# fixed values: keys that hold segments
+WRAPPERS = ("segments", "predictions", "ground_truth", "data", "records", "sessions")
+
+
 def find_segments(spark: SparkSession, path: str) -> DataFrame:
     """Segments (session_id, start, end, label) in JSON documents of unknown wrapping.
 
-    Known wrappers (segments, predictions, ground_truth, data, records) and nested lists are opened in turn."""
-    docs = spark.read.option("wholetext", True).text(path).select(F.try_parse_json("value").alias("v")).filter("v is not null")
-    wrappers = ("segments", "predictions", "ground_truth", "data", "records", "sessions")
-    found = None
-    level = docs
-    for _ in range(4):
-        pick = [F.try_variant_get("v", f"$.{c}", "string").alias(c) for c in ("session_id", "start", "end", "label")]
-        hit = level.select(*pick).filter("session_id is not null and start is not null and `end` is not null")
-        found = hit if found is None else found.unionByName(hit)
-        kind = F.schema_of_variant("v")
-        arrays = level.filter(F.startswith(kind, F.lit("ARRAY"))).select(F.explode(F.try_variant_get("v", "$", "array<variant>")).alias("v"))
-        inner = level.filter(F.startswith(kind, F.lit("OBJECT"))).select(F.explode(F.array(*[F.try_variant_get("v", f"$.{w}", "variant") for w in wrappers])).alias("v")).filter("v is not null")
-        level = arrays.unionByName(inner)
-    return found
+    Known wrappers and nested lists are opened in turn, as deep as they go; a document is one row's text.
+    Unreadable documents have no segments; other values than texts are written as JSON."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for text in b["value"]:
+                try:
+                    stack = [json.loads(text)]
+                except (ValueError, RecursionError):
+                    continue
+                while stack:
+                    v = stack.pop()
+                    if isinstance(v, list):
+                        stack += reversed(v)
+                    elif isinstance(v, dict):
+                        row = [x if x is None or isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in map(v.get, ("session_id", "start", "end", "label"))]
+                        if None not in row[:3]:
+                            rows.append(row)
+                        stack += [v[w] for w in reversed(WRAPPERS) if w in v]
+            yield pd.DataFrame(rows, columns=["session_id", "start", "end", "label"])
+
+    return spark.read.option("wholetext", True).text(path).mapInPandas(run, "session_id string, start string, `end` string, label string")
 
 
 def read_ground_truth(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
@@ -69,13 +124,23 @@ def read_ground_truth(spark: SparkSession, path: str, version: str | None = None
     return x.withColumn("owner", F.coalesce(F.nullif("execution_id", F.lit("")), "segment_id"))
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header: BOM removed, names as slugs, all text; the 1-based file row is kept where one file is read in one part."""
+def _slug(name: str) -> str:
+    return re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", name.lstrip("\ufeff").lower()))
+
+
+def read_csv(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """CSV with header: BOM removed, names as slugs, all text; ``numbered`` adds file_row, the record's number in its file (the header is 1).
+
+    Records may hold line breaks, so a file is read by one task anyway, and numbered by one."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    slug = lambda n: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", n.lstrip("\ufeff").lower()))
-    return df.toDF(*[slug(c) for c in df.columns])
+    out = df.toDF(*[_slug(c) for c in df.columns])
+    if not numbered:
+        return out
+    out = out.withColumns({"__p": F.input_file_name(), "__i": F.monotonically_increasing_id()})
+    return out.withColumn("file_row", F.row_number().over(Window.partitionBy("__p").orderBy("__i")) + 1).drop("__p", "__i")
 
 
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -88,9 +153,16 @@ def sheet_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
             for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS):
                 shared.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        titles = [s.get("name") for s in book.iterfind("m:sheets/m:sheet", _NS)]
-        files = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n.split("/")[-1]).group()))
-        for title, f in zip(titles, files):
+        rel = f"{{{_REL}}}id"
+        targets = {}
+        if "xl/_rels/workbook.xml.rels" in names:
+            for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+                t = r.get("Target", "")
+                targets[r.get("Id")] = t.lstrip("/") if t.startswith("/") else f"xl/{t}"
+        for no, sheet in enumerate(book.iterfind("m:sheets/m:sheet", _NS), 1):  # a sheet's part is named by its relationship
+            title, f = sheet.get("name"), targets.get(sheet.get(rel), f"xl/worksheets/sheet{no}.xml")
+            if f not in names:
+                continue
             for row in ElementTree.fromstring(z.read(f)).iterfind("m:sheetData/m:row", _NS):
                 cells: dict[int, str] = {}
                 for c in row.iterfind("m:c", _NS):
@@ -108,8 +180,7 @@ def sheet_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
 
 def find_header(rows: list[list[str]], wanted: list[str], least: int, within: int = 20) -> int | None:
     """Index of the row, of the first ``within``, that shares most names with ``wanted`` (at least ``least``)."""
-    slug = lambda n: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", n.lower()))
-    score = [len({slug(c) for c in r} & set(wanted)) for r in rows[:within]]
+    score = [len({_slug(c) for c in r} & set(wanted)) for r in rows[:within]]
     best = max(range(len(score)), key=lambda i: (score[i], -i), default=None)
     return best if best is not None and score[best] >= least else None
 
@@ -141,18 +212,34 @@ class _XlsxReader(DataSourceReader):
     def read(self, partition) -> Iterator[tuple]:
         with open(partition.value, "rb") as f:
             data = f.read()
-        sheets: dict[str, list] = {}
-        for title, n, cells in sheet_rows(data):
-            sheets.setdefault(title, []).append((n, cells))
-        slug = lambda n: re.sub(r"^_+|_+$", "", re.sub(r"[^a-z0-9]+", "_", n.lower()))
-        for title, rows in sheets.items():
-            h = find_header([c for _, c in rows], self.columns, self.least)
-            if h is None:
-                continue
-            at = {slug(c): i for i, c in enumerate(rows[h][1])}
-            for n, cells in rows[h + 1 :]:
-                if any(c.strip() for c in cells):
-                    yield (title, n, *[cells[at[c]] if c in at and at[c] < len(cells) else None for c in self.columns])
+        yield from workbook_records(data, self.columns, self.least)
+
+
+def workbook_records(data: bytes, columns: list[str], least: int) -> Iterator[tuple]:
+    """(sheet, row, wanted columns ...) of every sheet with a header."""
+    sheets: dict[str, list] = {}
+    for title, n, cells in sheet_rows(data):
+        sheets.setdefault(title, []).append((n, cells))
+    for title, rows in sheets.items():
+        h = find_header([c for _, c in rows], columns, least)
+        if h is None:
+            continue
+        at = {_slug(c): i for i, c in enumerate(rows[h][1])}
+        for n, cells in rows[h + 1 :]:
+            if any(c.strip() for c in cells):
+                yield (title, n, *[cells[at[c]] if c in at and at[c] < len(cells) else None for c in columns])
+
+
+def read_xlsx(spark: SparkSession, path: str, columns: list[str], least: int = 1) -> DataFrame:
+    """(path, sheet, row, wanted columns as text) of workbooks on any storage Spark reads; a workbook is one task's."""
+    schema = "path string, sheet string, row int, " + ", ".join(f"`{c}` string" for c in columns)
+
+    def run(batches):
+        for b in batches:
+            rows = [(p, *r) for p, data in zip(b["path"], b["content"]) for r in workbook_records(bytes(data), columns, least)]
+            yield pd.DataFrame(rows, columns=["path", "sheet", "row", *columns])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
 def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
@@ -160,6 +247,11 @@ def write_jsonl(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+    """One file of JSON lines in a stated order; for results one task can sort."""
+    df.repartition(1).sortWithinPartitions(*order).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     (df.coalesce(1) if single else df).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 

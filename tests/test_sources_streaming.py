@@ -103,3 +103,56 @@ def test_stream_of_activities(spark, tmp_path):
     q.awaitTermination(60)
     q.stop()
     assert [r.text for r in spark.table("acts").collect()][:1] == ["hi"]  # the open run may come with a time-out
+
+
+def test_lines_are_numbered(spark, tmp_path):
+    from opweave.sources.files import bad_lines, event_order, read_csv, read_jsonl_lenient, read_jsonl_strict, read_sessions
+
+    d = tmp_path / "ses_1" / "chunk_a"
+    d.mkdir(parents=True)
+    good = '{"event_id": "e%d", "timestamp_ms": %d, "correlation": {"sequence_number": null, "chunk_id": ""}}'
+    (d / "events.jsonl").write_text("\n".join([good % (i, i) for i in range(500)] + ["", "{bad", "[1]", good % (500, 500)]))
+    schema = "event_id string, timestamp_ms long, correlation struct<sequence_number:long,chunk_id:string>"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = read_jsonl_lenient(spark, str(d), schema, numbered=True).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line_no for r in rows] == [*range(1, 501), 502, 503, 504]
+    assert [r.error for r in rows[-3:]] == ["invalid_json", "not_an_object", None] and rows[6].obj.event_id == "e6"
+    with pytest.raises(ValueError, match="line 502: invalid_json"):
+        read_jsonl_strict(spark, str(d), schema)
+    e = read_sessions(spark, str(tmp_path), schema)
+    assert event_order(e) == ["timestamp_ms", "sequence_number", "event_id"]
+    assert {tuple(r) for r in e.select("chunk_id", "sequence_number").collect()} == {("chunk_a", 0)} and e.count() == 501
+    assert {tuple(r) for r in bad_lines(spark, str(tmp_path)).collect()} == {("ses_1", "invalid_json", 1), ("ses_1", "not_an_object", 1)}
+    (tmp_path / "x.csv").write_text("\ufeffName,B c\na,\"1\n2\"\nb,3\n")
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "x.csv"), numbered=True).orderBy("file_row").collect()] == [("a", "1\n2", 2), ("b", "3", 3)]
+
+
+def test_segments_at_any_depth(spark, tmp_path):
+    import json
+
+    from opweave.sources.files import find_segments
+
+    doc = {"session_id": "s", "start": "a", "end": "b", "label": "x"}
+    for _ in range(7):
+        doc = {"data": [doc]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    assert [tuple(r) for r in find_segments(spark, str(tmp_path / "d.json")).collect()] == [("s", "a", "b", "x")]
+
+
+def test_sheets_by_relationship(spark, tmp_path):
+    import zipfile
+
+    from opweave.sources.files import read_xlsx
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = lambda v: f'<worksheet {ns}><sheetData><row r="1"><c r="A1" t="inlineStr"><is><t>Name</t></is></c></row><row r="2"><c r="A2" t="inlineStr"><is><t>{v}</t></is></c></row></sheetData></worksheet>'
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "w.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{r}"><sheets><sheet name="first" r:id="rId2"/><sheet name="second" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet("of second"))
+        z.writestr("xl/worksheets/sheet2.xml", sheet("of first"))
+    assert {(x.sheet, x.name) for x in read_xlsx(spark, str(tmp_path / "w.xlsx"), ["name"]).collect()} == {("first", "of first"), ("second", "of second")}
