@@ -53,7 +53,7 @@ def gap_sessions(spark, d):
     return S.gap_sessions(table(spark, d, "events"), "user_id", "ts", "event_id", 21600)
 
 
-WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def _low(x: str) -> str:
