@@ -1,7 +1,7 @@
 """TF-IDF, cosine neighbours, silhouettes, average linkage and ranking metrics."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,6 +134,77 @@ def average_linkage(dist: np.ndarray) -> list[tuple[int, int, float, int]]:
     return merges
 
 
+class Profiles:
+    """Vectors of counts for cosine linkage, each distinct direction once, in order of its first item.
+
+    ``of`` gives the direction of each item, ``unit`` its unit vector, ``weight`` the number of its items.
+    Items of one direction are at distance 0: average linkage merges them first, in any order.
+    Mean distances come from vector sums, so memory is O(n t) for n directions of t terms; no matrix of pairs is held."""
+
+    def __init__(self, counts: np.ndarray):
+        m = counts.astype(np.int64)
+        m = m // np.maximum(np.gcd.reduce(m, axis=1, initial=0), 1)[:, None]
+        seen: dict[bytes, int] = {}
+        self.of = np.array([seen.setdefault(r.tobytes(), len(seen)) for r in m], int)
+        self.weight = np.bincount(self.of, minlength=len(seen)).astype(float)
+        self.unit = _unit(m[np.unique(self.of, return_index=True)[1]].astype(float))
+
+    def reordered(self, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight and unit vectors of the directions in the order in which they come when the items are in ``order``, and their numbers here."""
+        at = self.of[order]
+        first = at[np.sort(np.unique(at, return_index=True)[1])]
+        return self.unit[first], self.weight[first], first
+
+
+def cosine_linkage(unit: np.ndarray, weight: np.ndarray, block: int = 4_000_000) -> list[tuple[int, int, float, int]]:
+    """``average_linkage`` by cosine distance of weighted unit vectors: the same merges, without the matrix of distances.
+
+    The mean distance of two clusters is 1 - (sum a . sum b) / (|a| |b|).  Each row keeps its nearest later row; one whose
+    nearest was merged keeps that distance as a bound (a merged cluster is no nearer than the nearer of its parts) and is looked
+    up again when it comes first.  Distances that differ by rounding alone (12 digits) are equal, ties take the lowest pair."""
+    n = len(unit)
+    total, size, alive, ids = unit * weight[:, None], weight.astype(float).copy(), np.ones(n, bool), list(range(n))
+    least, near, stale = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
+
+    def rows(a: np.ndarray, frm: int) -> np.ndarray:
+        d = np.round(np.clip(1 - (total[a] @ total[frm:].T) / (size[a][:, None] * size[frm:]), 0, 2), 12)
+        d[:, ~alive[frm:]] = np.inf
+        return d
+
+    def look(i: int, d: np.ndarray) -> None:
+        stale[i], least[i] = False, np.inf
+        if len(d):
+            k = int(np.argmin(d))
+            least[i], near[i] = d[k], i + 1 + k
+
+    step = max(1, block // max(n, 1))
+    for lo in range(0, n - 1, step):
+        a = np.arange(lo, min(lo + step, n - 1))
+        d = rows(a, lo)
+        d[np.arange(n - lo)[None, :] <= (a - lo)[:, None]] = np.inf
+        near[a] = lo + d.argmin(1)
+        least[a] = d.min(1)
+    merges = []
+    for k in range(n - 1):
+        i = int(np.argmin(least))
+        while stale[i]:
+            look(i, rows(np.array([i]), i + 1)[0])
+            i = int(np.argmin(least))
+        j, h = int(near[i]), float(least[i])
+        merges.append((ids[i], ids[j], h, int(size[i] + size[j])))
+        ids[i] = n + k
+        total[i] += total[j]
+        size[i] += size[j]
+        alive[j], least[j], stale[j] = False, np.inf, False
+        stale |= alive & np.isfinite(least) & ((near == j) | (near == i))
+        d = rows(np.array([i]), 0)[0]
+        look(i, d[i + 1 :])
+        # rows before i may be as near to it as to a later one
+        up = alive[:i] & ~stale[:i] & ((d[:i] < least[:i]) | (d[:i] == least[:i]) & (i < near[:i]))
+        least[:i][up], near[:i][up] = d[:i][up], i
+    return merges
+
+
 def cut_tree(merges: list[tuple[int, int, float, int]], n: int, threshold: float) -> np.ndarray:
     """Cluster number of each item, cutting merges above ``threshold``; numbered by first member."""
     up = list(range(n + len(merges)))
@@ -150,11 +221,13 @@ def cut_tree(merges: list[tuple[int, int, float, int]], n: int, threshold: float
     return np.array([seen.setdefault(root(i), len(seen)) for i in range(n)])
 
 
-def adjusted_rand(a: np.ndarray, b: np.ndarray) -> float:
-    """Adjusted Rand index of two labelings; 1 for equal partitions."""
-    t = pd.crosstab(a, b).to_numpy()
+def adjusted_rand(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> float:
+    """Adjusted Rand index of two labelings; 1 for equal partitions.  Only pairs of labels that occur are held."""
+    w = np.ones(len(a)) if weight is None else weight
+    (_, a), (_, b) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+    _, ab = np.unique(a * (b.max(initial=0) + 1) + b, return_inverse=True)
     c2 = lambda x: (x * (x - 1) / 2).sum()
-    tp, p, g, n = c2(t), c2(t.sum(1)), c2(t.sum(0)), c2(np.array([t.sum()]))
+    tp, p, g, n = (c2(np.bincount(x, w)) for x in (ab, a, b, np.zeros(len(a), int)))
     e = p * g / n if n else 0.0
     return 1.0 if (p + g) / 2 == e else float((tp - e) / ((p + g) / 2 - e))
 
@@ -174,21 +247,55 @@ def tree_silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
     return float(np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0).mean())
 
 
+def sum_silhouette(unit: np.ndarray, weight: np.ndarray, labels: np.ndarray, block: int = 4_000_000) -> float:
+    """``tree_silhouette`` by cosine distance of weighted unit vectors, from cluster sums in blocks of rows."""
+    k = int(labels.max()) + 1
+    if k < 2 or k >= weight.sum():
+        return 0.0
+    counts, sums = np.bincount(labels, weight), np.zeros((k, unit.shape[1]))
+    np.add.at(sums, labels, unit * weight[:, None])
+    total, step = 0.0, max(1, block // k)
+    for lo in range(0, len(unit), step):
+        lab, at = labels[lo : lo + step], np.arange(len(labels[lo : lo + step]))
+        far = np.clip(1 - (unit[lo : lo + step] @ sums.T) / counts, 0, 2)
+        own = counts[lab]
+        a = far[at, lab] * own / np.maximum(own - 1, 1)
+        far[at, lab] = np.inf
+        b = far.min(1)
+        total += float((weight[lo : lo + step] * np.where(own > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-12), 0)).sum())
+    return total / float(weight.sum())
+
+
+_SWEEP = ["threshold", "k", "silhouette", "singleton_share", "stability", "score", "eligible"]
+
+
 def threshold_sweep(dist: np.ndarray, thresholds: list[float], lo: int = 2, hi: int = 45, seed: int = 42) -> pd.DataFrame:
     """One linkage tree, cut many times: k, silhouette, singleton share, reorder stability and score of each threshold."""
-    merges = average_linkage(dist)
     order = np.random.RandomState(seed).permutation(len(dist))
-    shuffled = average_linkage(dist[np.ix_(order, order)])
+    trees = average_linkage(dist), average_linkage(dist[np.ix_(order, order)])
+    return _sweep(trees, order, np.ones(len(dist)), lambda lab: tree_silhouette(dist, lab), thresholds, lo, hi)
+
+
+def cosine_sweep(p: Profiles, thresholds: list[float], lo: int = 2, hi: int = 45, seed: int = 42) -> pd.DataFrame:
+    """``threshold_sweep`` by cosine distance of any number of items; no items, no rows."""
+    if not len(p.of):
+        return pd.DataFrame(columns=_SWEEP)
+    unit, weight, order = p.reordered(np.random.RandomState(seed).permutation(len(p.of)))
+    trees = cosine_linkage(p.unit, p.weight), cosine_linkage(unit, weight)
+    return _sweep(trees, order, p.weight, lambda lab: sum_silhouette(p.unit, p.weight, lab), thresholds, lo, hi)
+
+
+def _sweep(trees, order: np.ndarray, weight: np.ndarray, silhouette: Callable[[np.ndarray], float], thresholds: list[float], lo: int, hi: int) -> pd.DataFrame:
     rows = []
     for t in thresholds:
-        lab = cut_tree(merges, len(dist), t)
+        lab = cut_tree(trees[0], len(order), t)
         back = np.empty_like(lab)
-        back[order] = cut_tree(shuffled, len(dist), t)
+        back[order] = cut_tree(trees[1], len(order), t)
         k = int(lab.max()) + 1
-        single = float((np.bincount(lab) == 1).sum() / k)
-        sil, stab = tree_silhouette(dist, lab), adjusted_rand(lab, back)
+        single = float((np.bincount(lab, weight) == 1).sum() / k)
+        sil, stab = silhouette(lab), adjusted_rand(lab, back, weight)
         rows.append((t, k, sil, single, stab, sil + 0.10 * stab - 0.20 * single, lo <= k <= hi))
-    return pd.DataFrame(rows, columns=["threshold", "k", "silhouette", "singleton_share", "stability", "score", "eligible"])
+    return pd.DataFrame(rows, columns=_SWEEP)
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str, bins: int | None = None) -> DataFrame:

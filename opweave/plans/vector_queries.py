@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from opweave.functions import text as T
@@ -143,6 +144,20 @@ def label_vectors(spark, d) -> tuple[list[str], np.ndarray]:
     return list(p.index), p.to_numpy()
 
 
+def label_profiles(spark, d) -> tuple[list[str], V.Profiles]:
+    """Type and app profile of each workflow label, in the labels' order: a row for each term of a label goes to the driver."""
+    terms = F.explode(F.array(F.col("type"), F.coalesce("app", F.lit("-")))).alias("term")
+    n = owned(spark, d).select("label", terms).groupBy("label", "term").agg(F.count("*").alias("n")).toPandas()
+    at, names = pd.factorize(n["label"], sort=True)
+    term, kinds = pd.factorize(n["term"].fillna(""), sort=True)
+    m = np.zeros((len(names), len(kinds)), np.int64)
+    np.add.at(m, (at, term), n["n"].to_numpy(np.int64))
+    return list(names), V.Profiles(m)
+
+
+THRESHOLDS = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6]
+
+
 def _cosine_distance(m: np.ndarray) -> np.ndarray:
     u = V._unit(m)
     return np.clip(1 - u @ u.T, 0, 2)
@@ -158,8 +173,9 @@ def avg_linkage(spark, d):
 
 @query("threshold_sweep")
 def threshold_sweep(spark, d):
-    names, m = label_vectors(spark, d)
-    return spark.createDataFrame(V.threshold_sweep(_cosine_distance(m), [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6]))
+    s = V.cosine_sweep(label_profiles(spark, d)[1], THRESHOLDS)
+    rows = [tuple(r) for r in s.astype(object).itertuples(index=False)]
+    return spark.createDataFrame(rows, "threshold double, k bigint, silhouette double, singleton_share double, stability double, score double, eligible boolean")
 
 
 @query("threshold_choice")
