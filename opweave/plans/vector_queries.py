@@ -149,7 +149,7 @@ def label_profiles(spark, d) -> tuple[list[str], V.Profiles]:
     terms = F.explode(F.array(F.col("type"), F.coalesce("app", F.lit("-")))).alias("term")
     n = owned(spark, d).select("label", terms).groupBy("label", "term").agg(F.count("*").alias("n")).toPandas()
     at, names = pd.factorize(n["label"], sort=True)
-    term, kinds = pd.factorize(n["term"].fillna(""), sort=True)
+    term, kinds = pd.factorize(n["term"].fillna("\0"), sort=True)
     m = np.zeros((len(names), len(kinds)), np.int64)
     np.add.at(m, (at, term), n["n"].to_numpy(np.int64))
     return list(names), V.Profiles(m)
@@ -166,8 +166,8 @@ def _cosine_distance(m: np.ndarray) -> np.ndarray:
 @query("avg_linkage")
 def avg_linkage(spark, d):
     """Workflow labels clustered at distance 0.15, stably numbered."""
-    names, m = label_vectors(spark, d)
-    lab = V.cut_tree(V.average_linkage(_cosine_distance(m)), len(names), 0.15)
+    names, p = label_profiles(spark, d)
+    lab = V.cut_tree(V.cosine_linkage(p.unit, p.weight), len(p.weight), 0.15)[p.of]
     return spark.createDataFrame([(n, int(c)) for n, c in zip(names, lab)], "label string, cluster int")
 
 

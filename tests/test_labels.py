@@ -66,6 +66,14 @@ def test_sweep_of_many_labels(spark, many):
     assert s[0.02].singleton_share == 2 / s[0.02].k
 
 
+def test_clusters_of_many_labels(spark, many):
+    got = {r.label: r.cluster for r in queries()["avg_linkage"](spark, many).collect()}
+    assert sorted(got) == [f"L{i:05}" for i in range(N)] and got["L00000"] == 0
+    assert all(got[f"L{i:05}"] == got[f"L{i + 231:05}"] for i in range(N - 2 - 231))  # the mixtures repeat
+    numbers = [got[x] for x in sorted(got)]
+    assert list(dict.fromkeys(numbers)) == list(range(max(numbers) + 1))  # by first member
+
+
 def test_sweep_of_no_labels(spark, many, tmp_path):
     for t in ("activities", "segments"):
         spark.read.parquet(f"{many}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
