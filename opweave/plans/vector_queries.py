@@ -130,20 +130,6 @@ def seq_edit_distance(spark, d):
     return x.select("label", F.array_join("types", ">").alias("variant"), F.round(F.levenshtein("code", "dom") / F.greatest(F.length("code"), F.length("dom")), 6).alias("distance"))
 
 
-MAX_TREE = 5000  # items a linkage tree may hold (its distances are one dense matrix)
-
-
-def label_vectors(spark, d) -> tuple[list[str], np.ndarray]:
-    """Type and app profile of each workflow label: a few rows a label, checked before they go to the driver."""
-    o = owned(spark, d)
-    long = o.select("label", F.explode(F.array(F.col("type"), F.coalesce("app", F.lit("-")))).alias("term")).groupBy("label", "term").agg(F.count("*").alias("n"))
-    n = o.select("label").distinct().count()
-    if n > MAX_TREE:
-        raise ValueError(f"{n} labels: average linkage is exact up to {MAX_TREE}; cluster representatives instead")
-    p = long.toPandas().pivot(index="label", columns="term", values="n").fillna(0).sort_index()
-    return list(p.index), p.to_numpy()
-
-
 def label_profiles(spark, d) -> tuple[list[str], V.Profiles]:
     """Type and app profile of each workflow label, in the labels' order: a row for each term of a label goes to the driver."""
     terms = F.explode(F.array(F.col("type"), F.coalesce("app", F.lit("-")))).alias("term")
@@ -158,11 +144,6 @@ def label_profiles(spark, d) -> tuple[list[str], V.Profiles]:
 THRESHOLDS = [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6]
 
 
-def _cosine_distance(m: np.ndarray) -> np.ndarray:
-    u = V._unit(m)
-    return np.clip(1 - u @ u.T, 0, 2)
-
-
 @query("avg_linkage")
 def avg_linkage(spark, d):
     """Workflow labels clustered at distance 0.15, stably numbered."""
@@ -181,9 +162,8 @@ def threshold_sweep(spark, d):
 @query("threshold_choice")
 def threshold_choice(spark, d):
     """The eligible threshold with the best score; the first wins ties, 0.55 if none is eligible."""
-    names, m = label_vectors(spark, d)
-    s = V.threshold_sweep(_cosine_distance(m), [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6])
-    s = s[s["eligible"] & (s["singleton_share"] <= 0.55)]
+    s = V.cosine_sweep(label_profiles(spark, d)[1], THRESHOLDS)
+    s = s[s["eligible"].astype(bool) & (s["singleton_share"] <= 0.55)]
     best = float(s.loc[s["score"].idxmax(), "threshold"]) if len(s) else 0.55
     return spark.createDataFrame([(best,)], "threshold double")
 

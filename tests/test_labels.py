@@ -74,7 +74,15 @@ def test_clusters_of_many_labels(spark, many):
     assert list(dict.fromkeys(numbers)) == list(range(max(numbers) + 1))  # by first member
 
 
+def test_choice_of_many_labels(spark, many):
+    s = queries()["threshold_sweep"](spark, many).toPandas()
+    s = s[s["eligible"] & (s["singleton_share"] <= 0.55)]
+    assert [r.threshold for r in queries()["threshold_choice"](spark, many).collect()] == [s.loc[s["score"].idxmax(), "threshold"]]
+
+
 def test_sweep_of_no_labels(spark, many, tmp_path):
     for t in ("activities", "segments"):
         spark.read.parquet(f"{many}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
-    assert queries()["threshold_sweep"](spark, str(tmp_path)).count() == 0
+    q = queries()
+    assert q["threshold_sweep"](spark, str(tmp_path)).count() == q["avg_linkage"](spark, str(tmp_path)).count() == 0
+    assert [r.threshold for r in q["threshold_choice"](spark, str(tmp_path)).collect()] == [0.55]
